@@ -2,7 +2,7 @@
 
 A language's dictionary is text of that language: whole documents, drawn in the order of a hash of id and text, while they
 fit in DICTIONARY bytes; at most SAMPLE documents of a language are looked at (the documented bound of the sample), and
-those longer than a quarter of the dictionary are passed over. A text is encoded whole with each dictionary, and the smallest output names the language. What
+those longer than a quarter of the dictionary are passed over. A text is encoded whole (in small letters, its words a space apart) with each dictionary, and the smallest output names the language. What
 the runner-up needs more, in bits to a byte of text, is the margin; a margin below `least_margin` is rejected as `und`.
 
 A null text, or one without a letter, is `und` with score 0. Equal sizes go to the language first in name. Repeated rows get
@@ -21,10 +21,17 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import session
 
-DICTIONARY, SAMPLE, LEVEL = 1 << 16, 300, 3
+DICTIONARY, SAMPLE, LEVEL = 1 << 17, 300, 3
+#: ASCII other than small letters becomes a space.
+PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def plain(text: str) -> bytes:
+    """The whole text in small letters, with one space for what lies between words in ASCII."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
+
+
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", size: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary for each non-null label; at most `sample` texts of a label come to the driver, each of a quarter of `size` at most."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= size // 4))
@@ -32,7 +39,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", id_col:
     ids = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"), F.row_number().over(order).alias("n")).where(F.col("n") <= sample)
     held: dict[str, list[bytes]] = defaultdict(list)
     for r in ids.orderBy("label", "n").select("label", "text").toLocalIterator():
-        data = r["text"].encode()
+        data = plain(r["text"])
         if sum(map(len, held[r["label"]])) + len(data) <= size:
             held[r["label"]].append(data)
     return {k: b"\n".join(v)[:size] for k, v in sorted(held.items()) if v}
@@ -52,13 +59,13 @@ class Classifier:
         """Language, score from 0 to 1, and margin in bits a byte."""
         if text is None or not self.by or not LETTER.search(text):
             return "und", 0.0, 0.0
-        data = text.encode("utf-8", "surrogatepass")
+        data = plain(text)
         sizes = [len(c.compress(data)) for c in self.by]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.names[0], 0.5, 0.0
         more = min(s for i, s in enumerate(sizes) if i != best) - sizes[best]
-        return self.names[best], more / (more + 4.0), 8.0 * more / len(data)
+        return self.names[best], more / (more + 4.0), 8.0 * more / max(1, len(data))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text: str = "text", least_margin: float = 0.0) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import WordHasher, session, text_chunks
 
-SAMPLE, MAX_TERMS, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 20_000, 200, 5, 0.8, 0.2, 80
-CHANCE, MIN_STEM, MAX_STEM = 1e-5, 4, 6
+SAMPLE, MAX_TERMS, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 10_000, 200, 5, 0.8, 0.2, 80
+CHANCE, SHARE, NEIGHBOURS, MIN_STEM, MAX_STEM = 1e-5, 0.02, 0.5, 4, 6
 #: ASCII other than letters parts words.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
 QUOTES = re.compile("|".join(["\"", "\u201c", "\u201d", "\u201e", "\u00ab", "\u00bb"]).encode())
@@ -202,26 +202,35 @@ class Scanner:
 # ---- learning ----
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems from sample(text, toxic), toxic 0 or 1. At most MAX_TERMS of each come to the driver."""
+    """Words and stems from sample(text, toxic), toxic 0 or 1. At most MAX_TERMS of each come to the driver.
+
+    A word or stem must be in SHARE of the toxic documents, in more than chance allows, in next to no clean ones, and there
+    between ever other neighbours: what is common only because a document has many copies keeps its neighbours."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return [], []
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(low, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))).alias("w")).where("length(w) >= 3")
+    split = sample.select("toxic", F.split(low, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+").alias("ws"))
+    forms = f"concat(array(concat('w', w)), transform(if(length(w) > {MIN_STEM}, sequence({MIN_STEM}, least({MAX_STEM}, length(w) - 1)), array()), n -> concat('s', substring(w, 1, n))))"
+    seen = split.select("toxic", F.explode(F.array_distinct("ws")).alias("w")).where("length(w) >= 3").select("toxic", F.explode(F.expr(forms)).alias("f"))
+    least = max(2, math.ceil(math.log(CHANCE) / math.log(n1 / (n1 + n0))), math.ceil(SHARE * n1))
     count = [F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b")]
-    least = max(2, math.ceil(math.log(CHANCE) / math.log(n1 / (n1 + n0))))
-    clear = lambda df: df.groupBy("w").agg(*count).where((F.col("a") >= least) & (F.col("a") >= 50 * F.col("b") * n1 / n0)).orderBy(F.desc("a"), "w").limit(MAX_TERMS).collect()
-    terms = {r["w"]: r["a"] for r in clear(words)}
-    lengths = F.sequence(F.lit(MIN_STEM), F.least(F.lit(MAX_STEM), F.length("w") - 1))
-    stems = words.where(F.length("w") > MIN_STEM).select("toxic", F.explode(F.transform(lengths, lambda n: F.substring("w", F.lit(1), n))).alias("w"))
-    best: dict[str, int] = {}
-    for r in sorted(clear(stems), key=lambda r: (len(r["w"]), r["w"])):
-        one_word = max((a for w, a in terms.items() if w.startswith(r["w"])), default=0)
-        shorter = next((x for x in best if r["w"].startswith(x)), None)
-        if one_word < 0.8 * r["a"] and not shorter:
-            best[r["w"]] = r["a"]
-    return [w for w in terms if not any(w.startswith(x) for x in best)], list(best)
+    few = seen.groupBy("f").agg(*count).where((F.col("a") >= least) & (F.col("a") * n0 >= 50 * F.col("b") * n1)).orderBy(F.desc("a"), "f").limit(2 * MAX_TERMS)
+    near = split.where("toxic = 1").select(F.explode(F.expr("transform(sequence(0, size(ws) - 1), i -> named_struct('w', ws[i], 'c', xxhash64(get(ws, i - 1), get(ws, i + 1))))")).alias("x"))
+    near = near.select(F.col("x.w").alias("w"), F.col("x.c").alias("c")).where("length(w) >= 3").select(F.explode(F.expr(forms)).alias("f"), "c")
+    apart = near.join(F.broadcast(few), "f").groupBy("f", "a").agg(F.count_distinct("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(least), F.col("a") * NEIGHBOURS)).collect()
+    found = {r["f"]: r["a"] for r in apart}
+    terms = {f[1:]: a for f, a in found.items() if f[0] == "w"}
+    stems = {f[1:]: a for f, a in found.items() if f[0] == "s" and max((x for w, x in terms.items() if w.startswith(f[1:])), default=0) < 0.8 * a}
+    # Of nested stems the longest that still has nearly all hits of the shortest.
+    best: dict[str, str] = {}
+    for stem in sorted(stems, key=lambda x: (len(x), x)):
+        root = next((x for x in best if stem.startswith(x)), None)
+        if root is None or stems[stem] >= 0.98 * stems[root]:
+            best[root or stem] = stem
+    chosen = sorted(best.values())
+    return sorted(w for w in terms if not any(w.startswith(x) for x in chosen)), chosen
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
