@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, language_id, mixing, ngram_join, sharding, topk, toxicity, warc
+from granary.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, sharding, token_counts, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents")).select("doc_id", "section", "begin", "end", "n_tokens", "doc_tokens")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -103,6 +111,15 @@ WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, l
 s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
+_SQL["op4_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, k, x, sum(CASE WHEN trim(x) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) - 1 AS p FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM d WHERE text IS NOT NULL)),
+b AS (SELECT r, doc_id, p, x, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM l WHERE trim(x) <> '' WINDOW w AS (PARTITION BY r ORDER BY p)),
+o AS (SELECT r, p, row_number() OVER (PARTITION BY x, x1, x2 ORDER BY doc_id NULLS LAST, r, p) AS n FROM b WHERE x2 IS NOT NULL),
+g AS (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS p FROM o WHERE n > 1),
+k AS (SELECT l.r, string_agg(x, chr(10) ORDER BY k) FILTER (WHERE trim(x) = '' OR g.p IS NULL) AS t, count(DISTINCT g.p) FILTER (WHERE trim(x) <> '') AS gone, count(*) FILTER (WHERE trim(x) <> '') AS n FROM l LEFT JOIN g ON l.r = g.r AND l.p = g.p GROUP BY l.r)
+SELECT doc_id, CASE WHEN gone > 0 THEN coalesce(trim(t, chr(10)), '') ELSE text END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(gone, 0) AS INTEGER) AS n_removed FROM d LEFT JOIN k USING (r)"""
+
 
 def oracle_sql() -> dict:
     return dict(_SQL)
