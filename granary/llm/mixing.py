@@ -89,6 +89,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 0, weights
     close = rows.where("_band = _edge").withColumn("_upto", F.sum("size").over(order) + F.col("_before"))
     close = close.select(*cols, (F.col("_upto") - F.col("size") / 2 < F.col("_rest")).alias("sampled"))
     out = clear.unionByName(close).withColumn("sampled", F.col("sampled") & (F.col("size") > 0))
+    out = out.withColumn("epochs", F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0).cast("long")))
     return out.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("sampled").cast("long")))
 
 
