@@ -1,16 +1,16 @@
-"""Shared pieces: session settings, tables in the shared folder, and hashing of words straight from Arrow buffers."""
+"""Shared pieces: session settings, and hashing of words straight from Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.store import new_path, written
+
+__all__ = ["WHITE", "WordHasher", "maybe_in", "mix", "new_path", "parts", "session", "text_chunks", "unit_hash", "written"]
+
 #: Rows in an Arrow batch where the session leaves Spark's default, so a batch of long texts stays small.
 BATCH_ROWS = 1000
 
@@ -23,55 +23,21 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(_remove, spark, path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the JVM has ended: the cluster's own clean-up takes the folder
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._granary_path = path
-    return out
-
-
-def drop_written(df: DataFrame | None) -> None:
-    if df is not None and getattr(df, "_granary_path", None):
-        _remove(df.sparkSession, df._granary_path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as the cluster has cores, where its files give fewer."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+#: Bits of a filter, in bitmaps of 32,768: one megabyte, whatever the data.
+FILTER_BITMAPS = 256
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among the keys, and a share of the others by chance: a filter of fixed size, broadcast, before a join that would move all of df. With very many keys it passes more, which costs time only."""
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITMAPS * 32768))
+    bitmaps = keys.select(h.alias("_h")).groupBy(F.expr("_h div 32768").alias("_b")).agg(F.bitmap_construct_agg(F.expr("_h % 32768")).alias("_m"))
+    x = df.withColumn("_h", h).withColumn("_b", F.expr("_h div 32768")).join(F.broadcast(bitmaps), "_b")
+    byte = F.expr("cast(conv(hex(substring(_m, cast(_h % 32768 div 8 as int) + 1, 1)), 16, 10) as long)")
+    return x.where(byte.bitwiseAND(F.expr("shiftleft(1L, cast(_h % 8 as int))")) != 0).select(*df.columns)
 
 
 def unit_hash(*cols) -> F.Column:

@@ -12,10 +12,10 @@ to the places of its first shingles, a bucket holds the sets of one place, and a
 2. First shingles are dealt out by hash; those of one set alone end here.
 3. A set's shared places get its point. In a place with at most HOT sets an R-tree finds the pairs within the bound; a
    spanning forest of them goes on. Hotter places (common passages, huge groups of near copies) are left out for a set that has
-   enough other first shingles left: PREFIX_MORE spare ones make up for them. Where a set hasn't ("heavy"), all sets of the
-   place are joined to the smallest without a test: more candidates, no loss.
+   enough other first shingles left: PREFIX_MORE spare ones make up for them. Where a set hasn't ("heavy"), all sets of like
+   size in the place are joined to the smallest without a test: more candidates, no loss.
 4. Components of these candidate links are small. Each is verified in one task by a tree of its own, exactly; a component of
-   more than BLOCK sets is dealt into blocks, each with the component's smallest set. What doesn't link to that set is then
+   more than BLOCK sets or BLOCK_SHINGLES shingles is dealt into blocks, each with the component's smallest set. What doesn't link to that set is then
    compared with all blocks.
 
 Links join documents into components exactly as if all pairs had been compared; no set, partner or candidate is capped.
@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import WHITE, WordHasher, mix, parts, session, text_chunks, written
-from granary.llm.components import components
+from granary.llm.common import WHITE, WordHasher, maybe_in, mix, parts, session, text_chunks, written
+from granary.operators.graph import components
 
 N_WORDS, PERCENT = 5, 80
-HOT, PREFIX_MORE, LEAF, BLOCK = 256, 0.04, 16, 2000
-GROUP_OF, LEAST_GROUPS, MOST_GROUPS = 8, 16, 1024
+HOT, PREFIX_MORE, LEAF, BLOCK, BLOCK_SHINGLES = 128, 0.06, 32, 16_000, 4_000_000
+GROUP_OF, LEAST_GROUPS, MOST_GROUPS = 4, 32, 4096
 
 
 # ---- sets ----
@@ -96,6 +96,15 @@ def point(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(g - 1)).astype(np.int64), minlength=g)
 
 
+def _point_bytes(hashes: np.ndarray) -> bytes:
+    p = point(hashes)
+    return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
+
+
+def _point_from(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_of(n) else np.uint32).astype(np.int64)
+
+
 def folded(p: np.ndarray, g: int) -> np.ndarray:
     """The point with fewer groups: a group is the low bits of a hash, so halves add up."""
     return p.reshape(-1, g).sum(0) if len(p) > g else p
@@ -114,31 +123,53 @@ class Tree:
         self.percent, self.sizes = percent, sizes
         g = min(len(p) for p in points)
         self.flat = np.stack([folded(p, g) for p in points]).astype(np.int32)
-        self.levels = []  # from leaves up: first member, upper corners, smallest and largest size
+        self.levels = []  # from leaves up: upper corners, smallest and largest size
         corners, low, high = self.flat, sizes, sizes
         while len(corners) > 1:
             cut = np.arange(0, len(corners), LEAF)
             corners, low, high = np.maximum.reduceat(corners, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((corners, low, high))
 
-    def before(self, i: int) -> np.ndarray:
-        """Those of the points below i that the bound leaves as partners of point i, the most promising first."""
-        p, n = self.flat[i], int(self.sizes[i])
-        if not self.levels:
-            return np.zeros(0, int)
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def _bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sums of coordinate minima of each row of a with each of b, a few rows at a time."""
+        step = max(1, (1 << 20) // max(1, b.size))
+        return np.concatenate([np.minimum(a[i : i + step, None, :], b[None]).sum(2) for i in range(0, len(a), step)])
+
+    def _leaf_pairs(self) -> list[tuple[int, int]]:
+        """Pairs of leaves that may hold partners, from the root's down, each leaf with itself first."""
+        depth = len(self.levels) - 1
+        pairs = np.zeros((1, 2), int)
+        while depth > 0:
+            depth -= 1
             corners, low, high = self.levels[depth]
-            at = at[(100 * high[at] >= self.percent * n) & (100 * n >= self.percent * low[at])]
-            bound = np.minimum(corners[at], p).sum(1)
-            at = at[(100 + self.percent) * bound >= self.percent * (n + low[at])]
-            width = len(self.levels[depth - 1][0]) if depth else len(self.flat)
-            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < width]
-        at = at[at < i]
-        bound = np.minimum(self.flat[at], p).sum(1)
-        keep = (100 + self.percent) * bound >= self.percent * (n + self.sizes[at])
-        return at[keep][np.argsort(-bound[keep], kind="stable")]
+            child = np.arange(LEAF)
+            pairs = np.stack([np.repeat(pairs[:, 0, None] * LEAF + child, LEAF, axis=1).ravel(), np.tile(pairs[:, 1, None] * LEAF + child, (1, LEAF)).ravel()], 1)
+            a, b = pairs[(pairs[:, 0] <= pairs[:, 1]) & (pairs[:, 1] < len(corners))].T
+            near = 100 * high[a] >= self.percent * low[b]
+            a, b = a[near], b[near]
+            kept = [np.zeros((0, 2), int)]
+            for i in range(0, len(a), 4096):
+                bound = np.minimum(corners[a[i : i + 4096]], corners[b[i : i + 4096]]).sum(1)
+                ok = (100 + self.percent) * bound >= self.percent * (low[a[i : i + 4096]] + low[b[i : i + 4096]])
+                kept.append(np.stack([a[i : i + 4096][ok], b[i : i + 4096][ok]], 1))
+            pairs = np.concatenate(kept)
+        order = np.lexsort((pairs[:, 0], pairs[:, 1] - pairs[:, 0]))
+        return pairs[order].tolist()
+
+    def pairs(self, joined):
+        """Pairs (i, j), j < i, that the bound leaves, the most promising of a pair of leaves first. joined(rows) gives the components that rows are in by now: leaves of one component are passed over."""
+        n = len(self.flat)
+        for a, b in self._leaf_pairs() if n > 1 else []:
+            x, y = np.arange(a * LEAF, min(n, a * LEAF + LEAF)), np.arange(b * LEAF, min(n, b * LEAF + LEAF))
+            if len({*joined(x), *joined(y)}) < 2:
+                continue
+            bound = self._bound(self.flat[y], self.flat[x])
+            total = self.sizes[y][:, None] + self.sizes[x][None]
+            ok = (100 + self.percent) * bound >= self.percent * total
+            ok &= (100 * np.minimum(self.sizes[y][:, None], self.sizes[x][None]) >= self.percent * np.maximum(self.sizes[y][:, None], self.sizes[x][None])) & (y[:, None] > x[None])
+            i, j = np.nonzero(ok)
+            best = np.argsort(-(bound[i, j] / total[i, j]), kind="stable")
+            yield from zip(y[i[best]].tolist(), x[j[best]].tolist(), strict=True)
 
 
 class Union:
@@ -151,6 +182,9 @@ class Union:
             x = self.up[x]
         return x
 
+    def roots(self, rows) -> set[int]:
+        return {self.find(x) for x in rows.tolist()}
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
         if a == b:
@@ -173,11 +207,10 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[list[int], l
     union, forest = Union(len(sets)), []
     if len(sets) > 1:
         tree = Tree([point(s) for s in sets], np.array([len(s) for s in sets]), percent)
-        for i in range(1, len(sets)):
-            for j in tree.before(i).tolist():
-                if union.find(i) != union.find(j) and overlap(sets[i], sets[j]) >= need(len(sets[i]), len(sets[j]), percent):
-                    union.join(i, j)
-                    forest.append((i, j))
+        for i, j in tree.pairs(union.roots):
+            if union.find(i) != union.find(j) and overlap(sets[i], sets[j]) >= need(len(sets[i]), len(sets[j]), percent):
+                union.join(i, j)
+                forest.append((i, j))
     return [union.find(i) for i in range(len(sets))], forest
 
 
@@ -189,7 +222,7 @@ def _rows(cols: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 def _shown(docs: DataFrame, percent: int) -> DataFrame:
     """Rows of two kinds: a document (doc, n, key, point), and the first shingles of a batch's sets that go to one part (part, tokens, keys)."""
-    deal = 8 * parts(docs.sparkSession)
+    deal = parts(docs.sparkSession)
 
     def run(batches):
         shingles = Shingler()
@@ -205,32 +238,49 @@ def _shown(docs: DataFrame, percent: int) -> DataFrame:
                     points.append(None)
                     continue
                 seen[k] = True
-                points.append(point(h).astype(np.uint16 if len(h) < 65536 else np.uint32).tobytes())
+                points.append(_point_bytes(h))
                 show = h[: first_of(len(h), percent) + int(PREFIX_MORE * len(h))]
                 tokens.append(show)
-                owners.append(np.full(len(show), k, np.int64))
+                owners.append(k)
             size = len(row)
             yield _rows({"doc": (ids.take(pa.array(row, pa.int64())), pa.int64()), "n": (n, pa.int64()), "key": (key, pa.int64()), "point": (points, pa.binary()), "part": ([None] * size, pa.int32()), "tokens": ([None] * size, pa.binary()), "keys": ([None] * size, pa.binary())})
             if not tokens:
                 continue
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            part = ((t >> np.uint64(16)) % np.uint64(deal)).astype(np.int32)
+            t, o = np.concatenate(tokens) >> np.uint64(16), np.repeat(np.arange(len(owners)), [len(x) for x in tokens])
+            part = (t % np.uint64(deal)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             t, o, part = t[order], o[order], part[order]
-            cut = np.flatnonzero(np.diff(part)) + 1
-            size = len(cut) + 1
-            yield _rows({"doc": ([None] * size, pa.int64()), "n": ([None] * size, pa.int64()), "key": ([None] * size, pa.int64()), "point": ([None] * size, pa.binary()), "part": (part[np.concatenate([[0], cut])], pa.int32()), "tokens": ([x.tobytes() for x in np.split(t, cut)], pa.binary()), "keys": ([x.tobytes() for x in np.split(o, cut)], pa.binary())})
+            out = {"part": [], "tokens": [], "keys": []}
+            for b, m in zip(*(x.tolist() for x in _runs(part)), strict=True):
+                out["part"].append(int(part[b]))
+                out["tokens"].append(_pack(t[b : b + m]))
+                out["keys"].append(_members(o[b : b + m], owners))
+            size = len(out["part"])
+            yield _rows({"doc": ([None] * size, pa.int64()), "n": ([None] * size, pa.int64()), "key": ([None] * size, pa.int64()), "point": ([None] * size, pa.binary()), "part": (out["part"], pa.int32()), "tokens": (out["tokens"], pa.binary()), "keys": (out["keys"], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc long, n long, key long, point binary, part int, tokens binary, keys binary")
 
 
-def _all(batches, *names) -> list[np.ndarray]:
-    """The binary columns of all batches of a task, each as one array."""
-    held: list[list[bytes]] = [[] for _ in names]
-    for batch in batches:
-        for h, name in zip(held, names, strict=True):
-            h += batch.column(batch.schema.get_field_index(name)).to_pylist()
-    return [np.frombuffer(b"".join(h), np.uint64 if name == "tokens" else np.int64) for h, name in zip(held, names, strict=True)]
+def _pack(t: np.ndarray) -> bytes:
+    """48-bit numbers in 6 bytes each."""
+    return (t >> np.uint64(16)).astype(np.uint32).tobytes() + (t & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(data, np.uint16, n, 4 * n)
+
+
+def _members(owner: np.ndarray, keys: list[int]) -> bytes:
+    """Owners as the keys that occur (their number first) and a short number for each."""
+    own, at = np.unique(owner, return_inverse=True)
+    kind = np.uint16 if len(own) < 65536 else np.uint32
+    return np.array([len(own), np.dtype(kind).itemsize], np.int64).tobytes() + np.array([keys[x] for x in own], np.int64).tobytes() + at.astype(kind).tobytes()
+
+
+def _keys(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, np.int64, 2).tolist()
+    return np.frombuffer(data, np.int64, n, 16)[np.frombuffer(data, np.uint16 if width == 2 else np.uint32, -1, 16 + 8 * n)]
 
 
 def _runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,9 +289,20 @@ def _runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(t)))
 
 
-def _shared(batches):
-    """For each set its shingles in this task that other sets show too: (key, cool, hot), hot where more than HOT do."""
-    t, k = _all(batches, "tokens", "keys")
+def _shared(deal: int):
+    def run(batches):
+        yield from _shared_places(batches, deal)
+
+    return run
+
+
+def _shared_places(batches, deal: int):
+    """The places of this task that several sets show, by part of the set: keys, names, and whether more than HOT show them."""
+    held = [(_unpack(t), _keys(k)) for batch in batches for t, k in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("tokens", "keys")], strict=True)]
+    if not held:
+        return
+    t, k = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
     order = np.lexsort((k, t))
     t, k = t[order], k[order]
     new = np.ones(len(t), bool)
@@ -249,14 +310,90 @@ def _shared(batches):
     t, k = t[new], k[new]
     begin, n = _runs(t)
     of = np.repeat(n, n)
-    t, k, of = t[of > 1], k[of > 1], of[of > 1]
-    order = np.argsort(k, kind="stable")
-    t, k, of = t[order], k[order], of[order]
+    # Cool places with the same sets are one: a place is named by the sum of its sets' mixed keys.
+    with np.errstate(over="ignore"):
+        name = np.repeat(mix(np.add.reduceat(mix(k.view(np.uint64)), begin)) if len(begin) else np.zeros(0, np.uint64), n)
+    hot = of > HOT
+    name[hot] = t[hot]
+    k, name, of, hot = k[of > 1], name[of > 1], of[of > 1], hot[of > 1]
+    part = (k.view(np.uint64) % np.uint64(deal)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    k, name, hot, part = k[order], name[order], hot[order], part[order]
+    out = {"part": [], "keys": [], "names": [], "hot": []}
+    for b, m in zip(*(x.tolist() for x in _runs(part)), strict=True):
+        out["part"].append(int(part[b]))
+        out["keys"].append(k[b : b + m].tobytes())
+        out["names"].append(name[b : b + m].tobytes())
+        out["hot"].append(np.packbits(hot[b : b + m]).tobytes())
+    if out["part"]:
+        yield _rows({c: (v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
+
+
+def _gathered(batches):
+    """One row for each set of this task: (key, n_cool, cool, hot), its places by name, each once."""
+    held = [(np.frombuffer(k, np.int64), np.frombuffer(n, np.uint64), np.unpackbits(np.frombuffer(h, np.uint8))[: len(k) // 8].astype(bool)) for batch in batches for k, n, h in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("keys", "names", "hot")], strict=True)]
+    if not held:
+        return
+    k, name, hot = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((name, k))
+    k, name, hot = k[order], name[order], hot[order]
     begin, n = _runs(k)
     for i in range(0, len(begin), 5000):
         spans = [(b, b + m) for b, m in zip(begin[i : i + 5000].tolist(), n[i : i + 5000].tolist(), strict=True)]
-        hot = [of[a:b] > HOT for a, b in spans]
-        yield _rows({"key": (k[begin[i : i + 5000]], pa.int64()), "cool": ([t[a:b][~x].tobytes() for (a, b), x in zip(spans, hot, strict=True)], pa.binary()), "hot": ([t[a:b][x].tobytes() for (a, b), x in zip(spans, hot, strict=True)], pa.binary())})
+        cool = [name[a:b][~hot[a:b]] for a, b in spans]
+        yield _rows({
+            "key": (k[begin[i : i + 5000]], pa.int64()), "n_cool": ([len(x) for x in cool], pa.int32()),
+            "cool": ([np.unique(x).tobytes() for x in cool], pa.binary()), "hot": ([name[a:b][hot[a:b]].tobytes() for a, b in spans], pa.binary()),
+        })
+
+
+def _hot_dealt(deal: int):
+    def run(batches):
+        """The hot places of a batch's sets by part: (place, band, key, heavy), each set in its own band and the next."""
+        for batch in batches:
+            keys, bands, heavy, hot = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "band", "heavy", "hot"))
+            t = [np.frombuffer(x, np.uint64) for x in hot]
+            if not t:
+                continue
+            owner = np.tile(np.repeat(np.arange(len(t)), [len(x) for x in t]), 2)
+            t = np.tile(np.concatenate(t), 2)
+            band = np.array(bands, np.int32)[owner] + (np.arange(len(t)) >= len(t) // 2).astype(np.int32)
+            part = (t % np.uint64(deal)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            t, owner, band, part = t[order], owner[order], band[order], part[order]
+            out = {c: [] for c in ("part", "places", "bands", "keys", "heavy")}
+            for b, m in zip(*(x.tolist() for x in _runs(part)), strict=True):
+                own = owner[b : b + m]
+                out["part"].append(int(part[b]))
+                out["places"].append(t[b : b + m].tobytes())
+                out["bands"].append(band[b : b + m].tobytes())
+                out["keys"].append(_members(own, keys))
+                out["heavy"].append(np.packbits(np.array(heavy, bool)[own]).tobytes())
+            yield _rows({c: (v, pa.int32() if c == "part" else pa.binary()) for c, v in out.items()})
+
+    return run
+
+
+def _hot_links(batches):
+    """Every set of a hot place and band that has a heavy one, with the smallest of them; each pair once."""
+    held = []
+    for batch in batches:
+        for t, b, k, h in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("places", "bands", "keys", "heavy")], strict=True):
+            t = np.frombuffer(t, np.uint64)
+            held.append((t, np.frombuffer(b, np.int32), _keys(k), np.unpackbits(np.frombuffer(h, np.uint8))[: len(t)].astype(bool)))
+    if not held:
+        return
+    t, band, k, heavy = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((k, band, t))
+    t, band, k, heavy = t[order], band[order], k[order], heavy[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (band[1:] != band[:-1])])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(t)))
+    some = np.repeat(np.logical_or.reduceat(heavy, begin), n)
+    lead = np.repeat(k[begin], n)
+    pairs = np.unique(np.stack([k, lead], 1)[some & (k != lead)], axis=0)
+    if len(pairs):
+        yield _rows({"a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64())})
 
 
 def _dealt(deal: int):
@@ -269,7 +406,7 @@ def _dealt(deal: int):
                 continue
             owner = np.repeat(np.arange(len(t)), [len(x) for x in t])
             t = np.concatenate(t)
-            part = ((t >> np.uint64(16)) % np.uint64(deal)).astype(np.int32)
+            part = (t % np.uint64(deal)).astype(np.int32)
             order = np.lexsort((owner, part))
             t, owner, part = t[order], owner[order], part[order]
             begin, size = _runs(part)
@@ -322,11 +459,10 @@ def _candidates(percent: int):
             if (same := own.tobytes()) in tried:
                 continue
             tried.add(same)
-            tree = Tree([np.frombuffer(points[x], np.uint16 if sizes[x] < 65536 else np.uint32) for x in own], size[own], percent)
-            for i in range(1, c):
-                for j in tree.before(i).tolist():
-                    if union.join(int(own[i]), int(own[j])):
-                        forest.append((keys[own[i]], keys[own[j]]))
+            tree = Tree([_point_from(points[x], sizes[x]) for x in own], size[own], percent)
+            for i, j in tree.pairs(lambda rows, own=own: union.roots(own[rows])):
+                if union.join(int(own[i]), int(own[j])):
+                    forest.append((keys[own[i]], keys[own[j]]))
         if forest:
             a, b = zip(*forest, strict=True)
             yield _rows({"a": (list(a), pa.int64()), "b": (list(b), pa.int64())})
@@ -336,7 +472,7 @@ def _candidates(percent: int):
 
 def _verified(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Exact links among the sets of each component in a block, as a forest of (a, b). A text that isn't its key's (an id with several texts) is passed over."""
+        """Exact components among the sets of each candidate component in a block: (a, b) with the smallest key b of a's component. A text that isn't its key's (an id with several texts) is passed over."""
         keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
         held: dict[int, dict[int, np.ndarray]] = {}
         for r, h in Shingler()(table.column("text")):
@@ -345,9 +481,14 @@ def _verified(percent: int):
         a, b = [], []
         for sets in held.values():
             order = sorted(sets, key=lambda k: (len(sets[k]), k))
-            for i, j in linked([sets[k] for k in order], percent)[1]:
-                a.append(order[i])
-                b.append(order[j])
+            root = linked([sets[k] for k in order], percent)[0]
+            least: dict[int, int] = {}
+            for k, r in zip(order, root, strict=True):
+                least[r] = min(k, least.get(r, k))
+            for k, r in zip(order, root, strict=True):
+                if least[r] != k:
+                    a.append(k)
+                    b.append(least[r])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -360,39 +501,43 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shown = written(_shown(docs, percent), "shown")
     sets = shown.where("part is null").select("doc", "n", "key", "point")
     places = shown.where("part is not null").select("part", "tokens", "keys")
-    shared = written(places.repartition(n_parts, "part").mapInArrow(_shared, "key long, cool binary, hot binary"), "shared")
+    shared = places.repartition(n_parts, "part").mapInArrow(_shared(n_parts), "part int, keys binary, names binary, hot binary")
+    met = shared.repartition(n_parts, "part").mapInArrow(_gathered, "key long, n_cool int, cool binary, hot binary")
 
-    # A set is heavy if without its hot first shingles it shows fewer than it must.
+    # Sets that link share as many of the places they show as both have spare ones, plus one: a set that shares fewer has no partner.
+    # A set is heavy if its hot places are more than it has spare ones.
     points = sets.where("point is not null").groupBy("key").agg(F.min("n").alias("n"), F.first("point").alias("point"))
-    with_hot = shared.where("length(hot) > 0").groupBy("key").agg(F.sum(F.expr("length(hot) div 8")).alias("n_hot"))
-    sized = points.join(with_hot, "key").withColumn("heavy", F.expr(f"n_hot > cast(floor({PREFIX_MORE}D * n) as long)"))
-    hot = shared.where("length(hot) > 0").join(sized.select("key", "heavy"), "key")
-    hot = hot.select("key", "heavy", F.explode(F.expr("transform(sequence(0, length(hot) div 8 - 1), i -> hex(substring(hot, i * 8 + 1, 8)))")).alias("t"))
-    lead = hot.groupBy("t").agg(F.min("key").alias("lead"), F.max("heavy").alias("heavy")).where("heavy").drop("heavy")
-    hot_links = hot.join(lead, "t").where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
-
-    cool = shared.where("length(cool) > 0").select("key", "cool").join(points, "key")
-    dealt = cool.mapInArrow(_dealt(8 * n_parts), DEALT).repartition(n_parts, "part")
+    met = points.join(met.withColumn("n_hot", F.expr("length(hot) div 8")), "key").where(F.expr(f"n_cool + n_hot > floor({PREFIX_MORE}D * {percent} / 100 * n - 1e-9D)"))
+    met = written(met.withColumn("heavy", F.expr(f"n_hot > floor({PREFIX_MORE}D * n)")), "met")
+
+    # Only sets of like size can link: a hot place is one for each band of sizes, and a set is in its own band and the next.
+    band = F.floor(F.log("n") / F.lit(np.log(100 / percent).item()) - F.lit(1e-9)).cast("int")
+    hot = met.where("n_hot > 0").select("key", "heavy", band.alias("band"), "hot")
+    hot = hot.mapInArrow(_hot_dealt(n_parts), "part int, places binary, bands binary, keys binary, heavy binary").repartition(n_parts, "part")
+    hot_links = hot.mapInArrow(_hot_links, "a long, b long")
+
+    cool = met.where("n_cool > 0").select("key", "cool", "n", "point")
+    dealt = cool.mapInArrow(_dealt(n_parts), DEALT).repartition(n_parts, "part")
     candidates = dealt.mapInArrow(_candidates(percent), "a long, b long").unionByName(hot_links).distinct()
     near = components(candidates)
     near = written(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "near")
 
     # One document of each set in question brings its text.
-    one = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc_id"))
-    of = near.join(one, near["node"] == one["key"]).select("doc_id", "key", "root").where("doc_id is not null")
-    counts = near.groupBy("root").agg(F.count("*").alias("size"))
-    of = of.join(counts, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, "doc_id").select("key", "root", "blocks", "text")
-    bins = max(1, near.count() // 500)  # small components share a task's group
+    one = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc_id"), F.min("n").alias("n"))
+    of = near.join(one, near["node"] == one["key"]).select("doc_id", "key", "root", "n").where("doc_id is not null")
+    counts = of.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    of = written(of.join(counts, "root").drop("n"), "of")
+    sums = of.agg(F.count("*").alias("n"), F.max("blocks").alias("most")).first()
+    texts = maybe_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id").join(of, "doc_id").select("key", "root", "blocks", "text")
+    bins = max(n_parts, sums["n"] // 500)  # components of one block share a task's group
     own = F.when(F.col("blocks") == 1, F.array(-1 - F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int")))
     own = own.when(F.col("key") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     blocks = texts.withColumn("block", F.explode(own)).withColumn("unit", F.when(F.col("block") < 0, F.lit(0)).otherwise(F.col("root")))
-    many = counts.where(F.col("size") > BLOCK).limit(1).count() > 0
-    if many:
+    if (sums["most"] or 0) <= 1:  # every candidate component met in one task, so its components are whole
+        settled = blocks.groupBy("unit", "block").applyInArrow(_verified(percent), "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:  # what doesn't reach its candidate component's first set meets all its blocks
         blocks = written(blocks, "blocks")
-    links = blocks.groupBy("unit", "block").applyInArrow(_verified(percent), "a long, b long")
-    if many:  # rows that don't reach the component's first set meet all its blocks
-        links = written(links, "links")
+        links = written(blocks.groupBy("unit", "block").applyInArrow(_verified(percent), "a long, b long"), "links")
         big = blocks.where("blocks > 1")
         done = components(links)
         reached = done.unionByName(done.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "own")
@@ -401,8 +546,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         strangers = state.where("own <> lead_own").select("key", "root", "blocks", "text").dropDuplicates().withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.col("root"))
         touched = strangers.select("root").distinct()
         again = big.join(touched, "root", "left_semi").unionByName(strangers.select(*big.columns))
-        links = links.unionByName(again.groupBy("unit", "block").applyInArrow(_verified(percent), "a long, b long"))
-    settled = components(links)
+        settled = components(links.unionByName(again.groupBy("unit", "block").applyInArrow(_verified(percent), "a long, b long")))
 
     roots = sets.join(settled, sets["key"] == settled["node"], "left").select("doc", "n", "key", F.coalesce("root", "key").alias("root"))
     smallest = roots.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("size")).where("size > 1")
