@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import WordHasher, session, text_chunks
 
 SAMPLE, MAX_TERMS, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 10_000, 200, 5, 0.8, 0.2, 80
-CHANCE, SHARE, NEIGHBOURS, MIN_STEM, MAX_STEM = 1e-5, 0.02, 0.5, 4, 6
+CHANCE, SHARE, NEIGHBOURS, MIN_STEM, MAX_STEM = 1e-5, 0.02, 0.5, 3, 8
 #: ASCII other than letters parts words.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
 QUOTES = re.compile("|".join(["\"", "\u201c", "\u201d", "\u201e", "\u00ab", "\u00bb"]).encode())
