@@ -39,7 +39,7 @@ from granary.llm.common import WHITE, WordHasher, maybe_in, mix, parts, session,
 from granary.operators.graph import components
 
 N_WORDS, PERCENT = 5, 80
-HOT, PREFIX_MORE, LEAF, BLOCK, BLOCK_SHINGLES = 128, 0.06, 32, 16_000, 4_000_000
+HOT, PREFIX_MORE, LEAF, BLOCK, BLOCK_SHINGLES = 512, 0.06, 32, 16_000, 4_000_000
 GROUP_OF, LEAST_GROUPS, MOST_GROUPS = 4, 32, 4096
 
 
