@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import WordHasher, session, text_chunks
 
-SAMPLE, MAX_TERMS, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 10_000, 200, 5, 0.8, 0.2, 80
+SAMPLE, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 10_000, 5, 0.8, 0.2, 80
 CHANCE, SHARE, NEIGHBOURS, MIN_STEM, MAX_STEM = 1e-5, 0.02, 0.5, 3, 8
 #: ASCII other than letters parts words.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
@@ -202,10 +202,12 @@ class Scanner:
 # ---- learning ----
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems from sample(text, toxic), toxic 0 or 1. At most MAX_TERMS of each come to the driver.
+    """Words and stems from sample(text, toxic), toxic 0 or 1. All that pass come to the driver: the sample bounds them.
 
     A word or stem must be in SHARE of the toxic documents, in more than chance allows, in next to no clean ones, and there
-    between ever other neighbours: what is common only because a document has many copies keeps its neighbours."""
+    between ever other neighbours: what is common only because a document has many near copies keeps its neighbours. Equal
+    texts count once a label."""
+    sample = sample.distinct()
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -216,10 +218,12 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     seen = split.select("toxic", F.explode(F.array_distinct("ws")).alias("w")).where("length(w) >= 3").select("toxic", F.explode(F.expr(forms)).alias("f"))
     least = max(2, math.ceil(math.log(CHANCE) / math.log(n1 / (n1 + n0))), math.ceil(SHARE * n1))
     count = [F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b")]
-    few = seen.groupBy("f").agg(*count).where((F.col("a") >= least) & (F.col("a") * n0 >= 50 * F.col("b") * n1)).orderBy(F.desc("a"), "f").limit(2 * MAX_TERMS)
+    few = seen.groupBy("f").agg(*count).where((F.col("a") >= least) & (F.col("a") * n0 >= 50 * F.col("b") * n1))
     near = split.where("toxic = 1").select(F.explode(F.expr("transform(sequence(0, size(ws) - 1), i -> named_struct('w', ws[i], 'c', xxhash64(get(ws, i - 1), get(ws, i + 1))))")).alias("x"))
     near = near.select(F.col("x.w").alias("w"), F.col("x.c").alias("c")).where("length(w) >= 3").select(F.explode(F.expr(forms)).alias("f"), "c")
-    apart = near.join(F.broadcast(few), "f").groupBy("f", "a").agg(F.count_distinct("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(least), F.col("a") * NEIGHBOURS)).collect()
+    # Neighbours are counted for all forms before the join: a cut of the forms by frequency would let one copied document take all places.
+    spread = near.groupBy("f").agg(F.count_distinct("c").alias("c")).where(F.col("c") >= least)
+    apart = spread.join(few, "f").where(F.col("c") >= F.col("a") * NEIGHBOURS).select("f", "a").collect()
     found = {r["f"]: r["a"] for r in apart}
     terms = {f[1:]: a for f, a in found.items() if f[0] == "w"}
     stems = {f[1:]: a for f, a in found.items() if f[0] == "s" and max((x for w, x in terms.items() if w.startswith(f[1:])), default=0) < 0.8 * a}
