@@ -151,10 +151,23 @@ def _(spark, d):
 AUDIT = "SELECT event_type || '_' || user_id AS model, count(*) AS runs, count(*) FILTER (value > 20) AS warmups, 'cpu' || (user_id % 9 = 0)::INTEGER AS cpu, 'gpu' AS gpu, '16' AS ram FROM events WHERE user_id < 40 GROUP BY event_type, user_id"
 
 
+def timed_runs(events):
+    x = events.groupBy("event_type", "user_id").agg(F.count("*").alias("runs"), F.count_if(F.col("value") > 20).alias("warmups"))
+    return x.select(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("model"), "runs", "warmups", F.concat(F.lit("cpu"), (F.col("user_id") % 9 == 0).cast("int").cast("string")).alias("cpu"), F.lit("gpu").alias("gpu"), F.lit("16").alias("ram"))
+
+
 @query("protocol_audit", f"WITH r AS ({AUDIT}), f AS (SELECT cpu || '|' || gpu || '|' || ram AS m FROM r ORDER BY model LIMIT 1) SELECT model, 'runs' AS problem FROM r WHERE runs < 200 UNION ALL SELECT model, 'warmups' FROM r WHERE warmups < 20 UNION ALL SELECT model, 'hardware' FROM r, f WHERE cpu || '|' || gpu || '|' || ram <> m")
 def _(spark, d):
-    x = table(spark, d, "events").where("user_id < 40").groupBy("event_type", "user_id").agg(F.count("*").alias("runs"), F.count_if(F.col("value") > 20).alias("warmups"))
-    return evaluate.protocol_violations(x.select(F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("model"), "runs", "warmups", F.concat(F.lit("cpu"), (F.col("user_id") % 9 == 0).cast("int").cast("string")).alias("cpu"), F.lit("gpu").alias("gpu"), F.lit("16").alias("ram")))
+    return evaluate.protocol_violations(timed_runs(table(spark, d, "events").where("user_id < 40")))
+
+
+#: All groups of the table.
+AUDIT_ALL = AUDIT.replace(" WHERE user_id < 40", "")
+
+
+@query("protocol_audit_all", f"WITH r AS ({AUDIT_ALL}), f AS (SELECT cpu || '|' || gpu || '|' || ram AS m FROM r ORDER BY model LIMIT 1) SELECT model, 'runs' AS problem FROM r WHERE runs < 200 UNION ALL SELECT model, 'warmups' FROM r WHERE warmups < 20 UNION ALL SELECT model, 'hardware' FROM r, f WHERE cpu || '|' || gpu || '|' || ram <> m")
+def _(spark, d):
+    return evaluate.protocol_violations(timed_runs(table(spark, d, "events")))
 
 
 @query("rep_effects", "SELECT param, value, count(*) AS n, round(avg(v), 6) AS mean_score FROM (SELECT 'event_type' AS param, event_type AS value, value AS v FROM events UNION ALL SELECT 'third', CAST(user_id % 3 AS VARCHAR), value FROM events) GROUP BY ALL")
