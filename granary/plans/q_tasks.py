@@ -52,6 +52,21 @@ def _(spark, d):
     return snapshot(spark, d).orderBy(*tasks.sort_keys("manual")).limit(100).select("id")
 
 
+#: Every task with its place; the two queries above have the first ones only.
+PLACES = {m: f"SELECT '{m}' AS mode, id, row_number() OVER (ORDER BY {o}, id) AS place FROM tasks" for m, o in ORDERS.items()}
+
+
+@query("task_sort_modes_all", f"WITH {TASKS} " + " UNION ALL ".join(PLACES.values()))
+def _(spark, d):
+    t = snapshot(spark, d)
+    return profile.union_all([tasks.places(t, m).select(F.lit(m).alias("mode"), "id", "place") for m in ORDERS])
+
+
+@query("task_order_all", f"WITH {TASKS} SELECT id, place FROM ({PLACES['manual']})")
+def _(spark, d):
+    return tasks.places(snapshot(spark, d), "manual")
+
+
 @query("task_counts", f"WITH {TASKS} SELECT count(*) FILTER (NOT completed) AS open, count(*) FILTER (NOT completed AND due_date <= '{TODAY}') AS today, count(*) FILTER (NOT completed AND due_date > '{TODAY}') AS upcoming, count(*) FILTER (completed) AS completed, round(100 * count(*) FILTER (completed) / count(*), 6) AS progress FROM tasks")
 def _(spark, d):
     return tasks.counts(snapshot(spark, d), TODAY)
