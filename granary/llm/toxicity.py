@@ -234,7 +234,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
         if root is None or stems[stem] >= 0.98 * stems[root]:
             best[root or stem] = stem
     chosen = sorted(best.values())
-    return sorted(w for w in terms if not any(w.startswith(x) for x in chosen)), chosen
+    # Terms with a stem stay: they take the edits that stems don't.
+    return sorted(terms), chosen
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
