@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.store import new_path, written
 
-__all__ = ["WHITE", "WordHasher", "maybe_in", "mix", "new_path", "parts", "session", "text_chunks", "unit_hash", "written"]
+__all__ = ["WHITE", "WordHasher", "free_name", "hashable", "marked", "maybe_in", "mix", "new_path", "parts", "session", "text_chunks", "unit_hash", "written"]
 
 #: Rows in an Arrow batch where the session leaves Spark's default, so a batch of long texts stays small.
 BATCH_ROWS = 1000
@@ -31,13 +31,33 @@ def parts(spark: SparkSession) -> int:
 FILTER_BITMAPS = 256
 
 
+def marked(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a boolean `name`: false only where the key isn't among the keys; true else, and for a share of the others by chance. The filter has a fixed size and is broadcast; very many keys make it pass more, which costs time only."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITMAPS * 32768))
+    bitmaps = keys.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("which")).agg(F.bitmap_construct_agg(F.expr("at % 32768")).alias("bits"))
+    x = df.select(F.struct("*").alias("row"), at.alias("at"))
+    x = x.join(F.broadcast(bitmaps), F.expr("at div 32768") == F.col("which"), "left")
+    byte = F.expr("cast(conv(hex(substring(bits, cast(at % 32768 div 8 as int) + 1, 1)), 16, 10) as long)")
+    return x.select("row.*", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1L, cast(at % 8 as int))")) != 0, F.lit(False)).alias(name))
+
+
 def maybe_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is among the keys, and a share of the others by chance: a filter of fixed size, broadcast, before a join that would move all of df. With very many keys it passes more, which costs time only."""
-    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITMAPS * 32768))
-    bitmaps = keys.select(h.alias("_h")).groupBy(F.expr("_h div 32768").alias("_b")).agg(F.bitmap_construct_agg(F.expr("_h % 32768")).alias("_m"))
-    x = df.withColumn("_h", h).withColumn("_b", F.expr("_h div 32768")).join(F.broadcast(bitmaps), "_b")
-    byte = F.expr("cast(conv(hex(substring(_m, cast(_h % 32768 div 8 as int) + 1, 1)), 16, 10) as long)")
-    return x.where(byte.bitwiseAND(F.expr("shiftleft(1L, cast(_h % 8 as int))")) != 0).select(*df.columns)
+    """The rows of df that `marked` marks: what is left to move before a join."""
+    name = free_name(df.columns, "maybe")
+    return marked(df, keys, key, name).where(F.col(name)).drop(name)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """The columns whose types have a hash and an order."""
+    return [c for c, t in df.dtypes if not any(x in t for x in ("map<", "variant"))]
 
 
 def unit_hash(*cols) -> F.Column:
@@ -51,7 +71,7 @@ def unit_hash(*cols) -> F.Column:
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

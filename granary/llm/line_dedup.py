@@ -5,45 +5,69 @@ window that occurs more than once anywhere is kept where it occurs first, in the
 covers its lines, covered places of a document are merged, and those lines go. Blank lines stay, but what removal leaves of a
 text has no line ends at its ends.
 
-First occurrences come from a partial aggregate for each window, so no task gathers the occurrences of a common one. Documents
-with fewer than LINES lines have no window and stay as they are, as do null and empty texts. Repeated rows are documents of their
-own (numbered in the order of equal ids by their place in the input); a null doc_id comes after all others. An empty table gives an empty result.
+Rows are numbered once and written with their numbers, so that windows and removal speak of the same rows however the input is
+computed. First occurrences come from a partial aggregate for each window, so no task gathers the occurrences of a common one.
+Rows without a repeated window are not moved. Documents with fewer than LINES lines have no window and stay as they are, as do null and
+empty texts. Repeated rows are documents of their own; a null doc_id comes after all others. Other columns may have any name; those named
+like a result column (n_lines, n_removed, removed) give way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import written
+from granary.llm.common import marked, session, written
 
 LINES = 3
+RESULT = ("n_lines", "n_removed", "removed")
 
 
-def windows(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each window: _row, _doc, _at (place of its first line among the non-blank ones, from 0), _w (two hashes)."""
-    x = docs.select(F.col("_row"), F.col(id_col).alias("_doc"), F.expr(f"filter(split(`{text}`, '\\n'), x -> trim(x) <> '')").alias("_l")).where(F.size("_l") >= lines)
-    x = x.select("_row", "_doc", F.transform("_l", lambda v: F.xxhash64(v)).alias("_a"), F.transform("_l", lambda v: F.xxhash64(v, F.lit(1))).alias("_b"))
-    window = f"transform(sequence(0, size(_a) - {lines}), i -> named_struct('x', xxhash64(slice(_a, i + 1, {lines})), 'y', xxhash64(slice(_b, i + 1, {lines}))))"
-    return x.select("_row", "_doc", F.posexplode(F.expr(window)).alias("_at", "_w"))
+def windows(rows: DataFrame, lines: int = LINES) -> DataFrame:
+    """A row for each window of rows(number, doc, text): number, doc, place (of its first line among the non-blank ones, from 0), window (two hashes)."""
+    x = rows.select("number", "doc", F.expr("filter(split(text, '\\n'), x -> trim(x) <> '')").alias("lines")).where(F.size("lines") >= lines)
+    x = x.select("number", "doc", F.transform("lines", lambda v: F.xxhash64(v)).alias("a"), F.transform("lines", lambda v: F.xxhash64(v, F.lit(1))).alias("b"))
+    window = f"transform(sequence(0, size(a) - {lines}), i -> named_struct('x', xxhash64(slice(a, i + 1, {lines})), 'y', xxhash64(slice(b, i + 1, {lines}))))"
+    return x.select("number", "doc", F.posexplode(F.expr(window)).alias("place", "window"))
+
+
+def without(text: str, places) -> str:
+    """The text without the non-blank lines at these places."""
+    gone, kept, n = set(places), [], 0
+    for line in text.split("\n"):
+        if line.strip(" "):
+            n += 1
+            if n - 1 in gone:
+                continue
+        kept.append(line)
+    return "\n".join(kept).strip("\n")
 
 
 def dedup(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text as it is left, and n_lines (non-blank), n_removed, removed (their places, from 0)."""
-    if any(c in docs.columns for c in ("_row", "_gone")):
-        raise ValueError("_row and _gone are names of this operator's own")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    w = written(windows(numbered, lines, id_col, text), "windows")
-    order = F.struct(F.col("_doc").isNull().alias("n"), F.col("_doc").alias("d"), F.col("_row").alias("r"), F.col("_at").alias("a"))
-    repeated = w.groupBy("_w").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("_w", "first")
-    later = w.join(repeated, "_w").where((F.col("_row") != F.col("first.r")) | (F.col("_at") != F.col("first.a")))
-    gone = later.groupBy("_row").agg(F.collect_set("_at").alias("_p")).select("_row", F.array_sort(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.sequence(p, p + lines - 1))))).alias("_gone"))
-    out = numbered.join(gone, "_row", "left")
-    all_lines = F.split(F.col(text), "\n")
-    # The place of each line among the non-blank ones, counted from the left.
-    tagged = F.expr(f"""aggregate(split(`{text}`, '\n'), named_struct('n', 0, 'k', cast(array() as array<string>)),
-        (s, v) -> if(trim(v) = '', named_struct('n', s.n, 'k', array_append(s.k, v)), named_struct('n', s.n + 1, 'k', if(array_contains(_gone, s.n), s.k, array_append(s.k, v)))),
-        s -> trim(both '\n' from array_join(s.k, '\n')))""")
-    n_lines = F.size(F.filter(all_lines, lambda x: F.trim(x) != ""))
-    cols = [F.when(F.col("_gone").isNull(), F.col(text)).otherwise(tagged).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return out.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    session(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def shortened(body: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([without(t, p) for t, p in zip(body, places, strict=True)], dtype=object)
+
+    own = [c for c in docs.columns if c.lower() not in RESULT]
+    rows = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*own).alias("row")), "numbered")
+    slim = rows.select("number", F.col(f"row.`{id_col}`").alias("doc"), F.col(f"row.`{text}`").alias("text"))
+    w = written(windows(slim, lines), "windows")
+    order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("number").alias("r"), F.col("place").alias("a"))
+    repeated = w.groupBy("window").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("window", "first")
+    later = w.join(repeated, "window").where((F.col("number") != F.col("first.r")) | (F.col("place") != F.col("first.a")))
+    gone = later.groupBy("number").agg(F.collect_set("place").alias("p"))
+    gone = written(gone.select("number", F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(p, p + lines - 1))))).alias("removed")), "gone")
+
+    body = F.col(f"row.`{text}`")
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != ""))).alias("n_lines")
+    maybe = marked(rows, gone, "number", "maybe")
+    none = F.array().cast("array<int>")
+    untouched = maybe.where("not maybe").select("row.*", n_lines, F.lit(0).alias("n_removed"), none.alias("removed"))
+    met = maybe.where("maybe").join(gone, "number", "left").withColumn("removed", F.coalesce("removed", none))
+    left = F.when(F.size("removed") > 0, shortened(F.coalesce(body, F.lit("")), "removed")).otherwise(body)
+    cols = [left.alias(c) if c == text else F.col(f"row.`{c}`") for c in own]
+    return untouched.unionByName(met.select(*cols, n_lines, F.size("removed").alias("n_removed"), "removed"))
