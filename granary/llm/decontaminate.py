@@ -9,7 +9,7 @@ A benchmark's grams are broadcast only while its words number BROADCAST_WORDS at
 Items with fewer than WINDOW words are one window of their own length, found by its hash at every place of a document.
 Null texts and texts without words have no words and hit nothing; items without words are skipped. Repeated documents give a row each
 (equal doc_ids too); of items that share an id, any window counts for that id. An item without an id hits but isn't named.
-An empty benchmark leaves every document clean; empty documents give an empty result.
+Only doc_id and text are read, so other columns may have any name. An empty benchmark leaves every document clean; empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -33,28 +33,34 @@ def word_hashes(text: F.Column) -> F.Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _kept(h: str = "_h") -> F.Column:
-    """Places (from 0) and hashes of the grams that winnowing keeps of the word hashes in column h."""
+def _kept(h: str = "_h") -> tuple[str, str]:
+    """Expressions for the grams and for the places (from 0) of the grams that winnowing keeps of the word hashes in column h."""
     gram = f"transform(sequence(0, size({h}) - {K}), i -> xxhash64({', '.join(f'{h}[i + {j}]' for j in range(K))}))"
     least = f"transform(sequence(1, greatest(size(_g) - {W_GRAMS - 1}, 1)), i -> i - 2 + array_position(slice(_g, i, {W_GRAMS}), array_min(slice(_g, i, {W_GRAMS}))))"
     return gram, least
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """df with _h (word hashes) as rows of _at, _gram for each kept gram and its context: WINDOW + W_GRAMS - 1 hashes or fewer, from _from on. Rows with fewer than WINDOW words have one row without a gram, and so does every row (`_first`)."""
+PRINT = "struct<_at:int,_gram:bigint,_len:int,_near:array<bigint>>"
+
+
+def fingerprints(short: list[int]) -> F.Column:
+    """Of the word hashes in _h an array of (_at, _gram, _len, _near): each kept gram with its context, WINDOW + W_GRAMS - 1 hashes or fewer (_len WINDOW), and the windows of each of the short lengths."""
     gram, least = _kept()
-    enough = F.size("_h") >= WINDOW
-    g = df.withColumn("_g", F.when(enough, F.expr(gram)).otherwise(F.array().cast("array<bigint>")))
-    g = g.withColumn("_p", F.when(enough, F.array_distinct(F.expr(least))).otherwise(F.array().cast("array<bigint>")))
-    at = F.expr(f"transform(_p, p -> named_struct('_at', cast(p as int), '_gram', _g[cast(p as int)], '_near', slice(_h, cast(greatest(p - {W_GRAMS - 1}, 0) as int) + 1, {WINDOW + W_GRAMS - 1})))")
-    none = F.expr("array(cast(null as struct<_at:int,_gram:bigint,_near:array<bigint>>))")
-    return g.select(*[c for c in df.columns if c != "_h"], F.explode(F.concat(none, at)).alias("_f"))
+    at = f"transform(_p, p -> named_struct('_at', cast(p as int), '_gram', _g[cast(p as int)], '_len', {WINDOW}, '_near', slice(_h, cast(greatest(p - {W_GRAMS - 1}, 0) as int) + 1, {WINDOW + W_GRAMS - 1})))"
+    # Nested transforms over one-element arrays name the grams and the kept places once.
+    kept = f"flatten(transform(array({gram}), _g -> flatten(transform(array(array_distinct({least})), _p -> {at}))))"
+    some = [F.when(F.size("_h") >= WINDOW, F.expr(kept)).otherwise(F.array().cast(f"array<{PRINT}>"))]
+    for n in short:
+        one = f"transform(sequence(0, size(_h) - {n}), i -> named_struct('_at', cast(i as int), '_gram', xxhash64({', '.join(f'_h[i + {j}]' for j in range(n))}), '_len', {n}, '_near', cast(null as array<bigint>)))"
+        some.append(F.when(F.size("_h") >= n, F.expr(one)).otherwise(F.array().cast(f"array<{PRINT}>")))
+    return F.concat(*some)
 
 
-def item_grams(benchmark: DataFrame) -> DataFrame:
-    """Kept grams of the items of WINDOW words or more, with their context."""
-    b = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).where(F.size("_h") >= WINDOW)
-    return fingerprints(b).where("_f is not null").select("item_id", F.col("_f._gram").alias("_gram"), F.col("_f._at").alias("_iat"), F.col("_f._near").alias("_inear"))
+def item_grams(benchmark: DataFrame, short: list[int]) -> DataFrame:
+    """The items' kept grams (windows, where an item is shorter than WINDOW): item_id, _gram, _len, _iat, _inear."""
+    b = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).where(F.size("_h") > 0)
+    own = b.select("item_id", F.least(F.size("_h"), F.lit(WINDOW)).alias("_own"), F.explode(fingerprints(short)).alias("_f")).where("_f._len = _own")
+    return own.select("item_id", "_f._gram", "_f._len", F.col("_f._at").alias("_iat"), F.col("_f._near").alias("_inear")).distinct()
 
 
 def _starts() -> F.Column:
@@ -67,35 +73,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items (sorted strings), hits (words hit, from 0), items_sha256, contaminated."""
     sizes = benchmark.select("item_id", F.size(words(F.col("text"))).alias("n")).where("n > 0")
     stats = sizes.agg(F.sum("n").alias("words"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("short")).first()  # at most WINDOW - 1 lengths
-    small = (stats["words"] or 0) <= BROADCAST_WORDS
-    near = F.broadcast if small else (lambda x: x)
+    short = sorted(stats["short"])
+    near = F.broadcast if (stats["words"] or 0) <= BROADCAST_WORDS else (lambda x: x)
+    # Rows are numbered and exploded in one pass, so a row's number is the same wherever it is used. A row's own entry has a gram that no item has: it keeps the row, and doesn't meet other rows' in a shuffle.
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("text")).alias("_h"))
-    base = base.select("doc_id", "_row", F.size("_h").alias("n_words"), "_h")
-    prints = fingerprints(base).select("doc_id", "_row", "n_words", "_f._at", "_f._gram", "_f._near")
-    joined = prints.join(near(item_grams(benchmark)), "_gram", "left").where("_inear is not null or _gram is null")
-    found = joined.select("doc_id", "_row", "n_words", "item_id", F.when(F.col("_inear").isNotNull(), _starts()).otherwise(F.array().cast("array<int>")).alias("_s"), F.lit(WINDOW).alias("_l"))
-    for length in sorted(stats["short"]):
-        gram = f"transform(sequence(0, size(_h) - {length}), i -> named_struct('_at', cast(i as int), '_gram', xxhash64({', '.join(f'_h[i + {j}]' for j in range(length))})))"
-        own = base.where(F.size("_h") >= length).select("doc_id", "_row", "n_words", F.explode(F.expr(gram)).alias("_f")).select("doc_id", "_row", "n_words", "_f._at", "_f._gram")
-        item = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).where(F.size("_h") == length).select("item_id", F.expr(f"xxhash64({', '.join(f'_h[{j}]' for j in range(length))})").alias("_gram")).distinct()
-        found = found.unionByName(own.join(near(item), "_gram").select("doc_id", "_row", "n_words", "item_id", F.array("_at").alias("_s"), F.lit(length).alias("_l")))
-    found = found.where("size(_s) > 0 or item_id is null").withColumn("_named", F.size("_s") > 0)
-    spans = F.transform(F.col("_s"), lambda s: F.sequence(s, s + F.col("_l") - 1))
+    none = F.array(F.struct(F.lit(0).alias("_at"), F.xxhash64("_row").alias("_gram"), F.lit(0).alias("_len"), F.lit(None).cast("array<bigint>").alias("_near")))
+    prints = base.select("doc_id", "_row", F.size("_h").alias("n_words"), F.explode(F.concat(none, fingerprints(short))).alias("_f")).select("doc_id", "_row", "n_words", "_f.*")
+    items = near(item_grams(benchmark, short).withColumn("_item", F.lit(True)))
+    joined = prints.join(items, ["_gram", "_len"], "left").where("_item or _len = 0")
+    starts = F.when(F.col("_len") == WINDOW, _starts()).when(F.col("_len") > 0, F.array("_at")).otherwise(F.array().cast("array<int>"))
+    found = joined.select("doc_id", "_row", "n_words", "item_id", "_len", starts.alias("_s")).where("size(_s) > 0 or _len = 0")
+    spans = F.transform(F.col("_s"), lambda s: F.sequence(s, s + F.col("_len") - 1))
     per = found.groupBy("_row", "doc_id", "n_words").agg(
-        F.collect_set(F.when(F.col("_named"), F.col("item_id").cast("string"))).alias("items"),
-        F.collect_set(F.when(F.col("_named"), F.flatten(spans))).alias("_spans"),
+        F.collect_set(F.when(F.col("_len") > 0, F.col("item_id").cast("string"))).alias("items"),
+        F.collect_set(F.when(F.col("_len") > 0, F.flatten(spans))).alias("_spans"),
     )
     per = per.withColumn("items", F.sort_array("items")).withColumn("hits", F.array_sort(F.array_distinct(F.flatten("_spans"))))
     n_hit = F.size("hits").cast("long")
     return per.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits",
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "_row",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.0) -> DataFrame:
-    """docs whose hit words are at most `most_share` of their words, columns as they were. A document is judged by its id and text, so equal rows fare alike."""
-    tagged = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
-    judged = decontaminate(tagged.select(F.col("_k").alias("doc_id"), "text"), benchmark)
-    dirty = judged.where(F.col("n_hit") > F.lit(most_share) * F.col("n_words")).select(F.col("doc_id").alias("_k")).distinct()
-    return tagged.join(dirty, "_k", "left_anti").select(*docs.columns)
+    """docs whose hit words are at most `most_share` of their words; columns are as they were, whatever their names. A document is judged by its id and text, so equal rows fare alike."""
+    tagged = docs.select(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.struct("*").alias("row"))
+    judged = decontaminate(tagged.select(F.col("key").alias("doc_id"), "row.text"), benchmark)
+    dirty = judged.where(F.col("n_hit") > F.lit(most_share) * F.col("n_words")).select(F.col("doc_id").alias("key")).distinct()
+    return tagged.join(dirty, "key", "left_anti").select("row.*")
