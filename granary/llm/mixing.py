@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import unit_hash, written
+from granary.llm.common import hashable, unit_hash, written
 
 #: Weights of the sources, in the order of their names, repeating; words to take, of all; most epochs of a source; words to a row's weight, by quality.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -94,9 +94,11 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 0, weights
 
 
 def mix_rows(docs: DataFrame, labels: DataFrame | None = None, seed: int = 0, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it (0, 1, ... cap times), columns as they were. Rows and decisions meet by a hash of id, source and text; rows that share all three share their decisions out."""
-    times = mix(docs, labels, seed, **how).groupBy("_h").agg(F.sum(F.col("epochs") + F.col("sampled").cast("long")).alias("_t"), F.count("*").alias("_c"))
-    picked = docs.withColumn("_h", row_hash()).join(times.where("_t > 0"), "_h")
-    turn = F.row_number().over(W.partitionBy("_h").orderBy("doc_id")) - 1
-    copies = (F.expr("_t div _c") + (turn < F.pmod("_t", "_c")).cast("long")).cast("int")
-    return picked.withColumn("_k", copies).where("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*docs.columns)
+    """docs with each row as often as the mix takes it (0, 1, ... cap times); columns are as they were, whatever their names. Rows and decisions meet by a hash of id, source and text; rows that share all three share their decisions out."""
+    times = mix(docs, labels, seed, **how).groupBy("_h").agg(F.sum(F.col("epochs") + F.col("sampled").cast("long")).alias("times"), F.count("*").alias("rows"))
+    picked = docs.select(row_hash().alias("_h"), F.struct("*").alias("row")).join(times.where("times > 0"), "_h")
+    # Equal rows have one key: only where a source ends among them do they part, which is once a source.
+    even = picked.where("times % rows = 0").select("row", F.expr("cast(times div rows as int)").alias("copies"))
+    turn = F.row_number().over(W.partitionBy("_h").orderBy(F.xxhash64(*[F.col(f"row.`{c}`") for c in hashable(docs)]))) - 1
+    odd = picked.where("times % rows > 0").withColumn("copies", (F.expr("times div rows") + (turn < F.pmod("times", "rows")).cast("long")).cast("int"))
+    return even.unionByName(odd.where("copies > 0").select("row", "copies")).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

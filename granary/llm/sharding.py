@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import session, written
+from granary.llm.common import hashable, session, written
 
 ROUNDS, MASK = 4, 0xFFFFFFFF
 MULTIPLIER, STEP = 2654435761, 40503
@@ -100,14 +100,15 @@ def shard(df: DataFrame, shards: int, seed: int = 0, text: str = "text", key: st
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """All columns of df with shard and slot: what a writer needs. Extra columns may have any name that doesn't begin with `_`."""
+    """All columns of df with shard and slot: what a writer needs. Rows equal in id, size and CRC are ordered by a hash of all their columns, so reruns agree. Columns may have any name; those named shard or slot give way to the result's."""
     session(df.sparkSession)
+    own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     body = F.coalesce(F.col("text"), F.lit(""))
-    keyed = df.select(*df.columns, F.crc32(F.encode(body, "UTF-8")).alias("_crc"), F.octet_length(body).alias("_size"))
-    rows, n = ranked(keyed, ["doc_id", "_crc", "_size"])
+    keyed = df.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"), F.crc32(F.encode(body, "UTF-8")).alias("crc"), F.octet_length(body).alias("size"), F.xxhash64(*[c for c in hashable(df) if c in own]).alias("rest"))
+    rows, n = ranked(keyed, ["id", "crc", "size", "rest"])
 
     @F.pandas_udf("long")
     def placed(rank: pd.Series) -> pd.Series:
         return pd.Series(place(rank.to_numpy(), n, seed))
 
-    return rows.withColumn("_place", placed("_rank")).select(*df.columns, F.pmod("_place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_place div {shards}").cast("long").alias("slot"))
+    return rows.withColumn("place", placed("_rank")).select("row.*", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.expr(f"place div {shards}").cast("long").alias("slot"))
