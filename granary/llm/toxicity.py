@@ -2,13 +2,15 @@
 
 The lexicon is learned from labelled rows: words that occur in toxic documents far more than chance allows, and stems
 (beginnings of words) where no single word explains the hits. Its trie and the automaton of words within one edit are walked together and made
-into one table of states by classes of bytes, so all words of a batch take a step at a time. Stems match without edits;
-words of MIN_FUZZY letters or more match with one. Variants that clean labelled documents use are no hits.
+into one table of states by classes of bytes, so all words of a batch take a step at a time. Words and stems
+of MIN_FUZZY letters or more match with one edit, a stem with its last letter in place. Variants that clean labelled documents use are no hits,
+and a word or stem with more than COMMON_SHAPE of them takes no edits. Digits and
+the signs *, @ and $ within a word are part of it, so that one of them may stand for a letter.
 
 A hit counts 1, a misspelled one FUZZY; between quotation marks within WINDOW bytes on the same line it counts QUOTED of that. The logarithm of 1 +
 the document's sum goes through a logistic function fitted on the labelled rows.
 
-At most SAMPLE labelled rows are learned from, those whose ids hash lowest (the documented bound). A row without text or words scores as one without
+At most SAMPLE labelled rows are learned from, those whose ids hash lowest (the documented bound; rows that repeat an id count each). Only doc_id and text are read, so other columns may have any name. A row without text or words scores as one without
 hits. Labels may repeat: the largest counts. Without both classes among the labels every score is the share of toxic rows. Repeated rows get
 equal results; empty tables give an empty result.
 """
@@ -23,22 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHasher, session, text_chunks
+from granary.llm.common import WordHasher, session, text_chunks, written
 
 SAMPLE, MIN_FUZZY, FUZZY, QUOTED, WINDOW = 10_000, 5, 0.8, 0.2, 80
 CHANCE, SHARE, NEIGHBOURS, MIN_STEM, MAX_STEM = 1e-5, 0.02, 0.5, 3, 8
-#: ASCII other than letters parts words.
-SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha())
+#: A term or stem with more such neighbours among clean words takes no edits.
+COMMON_SHAPE = 2
+#: ASCII other than letters, digits and the signs that stand for letters parts words; digits and signs at a word's ends aren't its own.
+SIGNS = b"0123456789*@$"
+SEPARATORS = bytes(b for b in range(128) if not chr(b).isalpha() and b not in SIGNS)
 QUOTES = re.compile("|".join(["\"", "\u201c", "\u201d", "\u201e", "\u00ab", "\u00bb"]).encode())
 
 
 # ---- the automaton ----
 
 class Automaton:
-    """The words within one edit of a lexicon's words, and the words that begin with its stems, as a table of states."""
+    """The words within one edit of a lexicon's words, and those that begin with its stems or with what is within one edit of them, as a table of states."""
 
-    def __init__(self, terms: list[str], stems: list[str], benign: set[str] = frozenset()):
+    def __init__(self, terms: list[str], stems: list[str], benign: set[str] = frozenset(), rigid: set[str] = frozenset()):
+        """benign: words that are no misspellings; rigid: terms and stems that take no edits."""
         self.terms, self.stems, self.benign = sorted(set(terms)), sorted(set(stems)), set(benign)
+        takes = lambda x: len(x) >= MIN_FUZZY and x not in rigid
         self.nodes: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]  # the term that ends at a node
         self.stem_at: list[bool] = [False]
@@ -46,15 +53,21 @@ class Automaton:
         for n, term in enumerate(self.terms):
             at = 0
             for b in term.encode():
-                self.fuzzy_at[at] |= len(term) >= MIN_FUZZY
+                self.fuzzy_at[at] |= takes(term)
                 at = self._child(at, b)
             self.ends[at] = n
-            self.fuzzy_at[at] |= len(term) >= MIN_FUZZY
+            self.fuzzy_at[at] |= takes(term)
+        self.fuzzy_stem = set()
         for stem in self.stems:
-            at = 0
+            at, fuzzy = 0, takes(stem)
             for b in stem.encode():
+                self.fuzzy_at[at] |= fuzzy
                 at = self._child(at, b)
             self.stem_at[at] = True
+            self.fuzzy_at[at] |= fuzzy
+            if fuzzy:
+                self.fuzzy_stem.add(at)
+        self.fuzzy_end = [takes(t) for t in self.terms]
         self._table()
 
     def _child(self, at: int, b: int) -> int:
@@ -66,7 +79,7 @@ class Automaton:
             self.fuzzy_at.append(False)
         return self.nodes[at][b]
 
-    # A walk is (node, edits, inside): inside, the rest of a changed or added character's bytes cost nothing. Node -1: past a stem.
+    # A walk is (node, edits, inside): inside, the rest of a changed or added character's bytes cost nothing. Node -1: past a stem, with as many edits.
     def _closed(self, walks: set) -> frozenset:
         """With the walks that leave out a character of the lexicon's."""
         out = set(walks)
@@ -94,7 +107,7 @@ class Automaton:
         tail = b is not None and 0x80 <= b < 0xC0
         for node, edits, inside in walks:
             if node < 0:
-                out.add((node, 0, 0))
+                out.add((node, edits, 0))
                 continue
             if inside and tail:
                 out.add((node, edits, 1))
@@ -103,6 +116,8 @@ class Automaton:
                 child = self.nodes[node][b]
                 if edits == 0 or self.fuzzy_at[child]:
                     out.add((child, edits, 0))
+                if edits and child in self.fuzzy_stem:
+                    out.add((-1, 1, 0))
             if edits == 0 and self.fuzzy_at[node] and not tail:
                 out.add((node, 1, 1))  # an added character
                 for c, child in self.nodes[node].items():
@@ -136,9 +151,9 @@ class Automaton:
         for i, walks in enumerate(todo):
             if any(n >= 0 and e == 0 and self.ends[n] >= 0 for n, e, _ in walks):
                 self.kind[i] = 1
-            elif any(n < 0 for n, _, _ in walks):
+            elif any(n < 0 and e == 0 for n, e, _ in walks):
                 self.kind[i] = 2
-            elif any(e == 1 and self.ends[n] >= 0 and len(self.terms[self.ends[n]]) >= MIN_FUZZY for n, e, _ in walks if n >= 0):
+            elif any(n < 0 or (e == 1 and self.ends[n] >= 0 and self.fuzzy_end[self.ends[n]]) for n, e, _ in walks):
                 self.kind[i] = 3
 
     def match(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +190,24 @@ class Scanner:
 
     def __init__(self, automaton: Automaton):
         self.automaton, self.words = automaton, WordHasher(SEPARATORS)
+        self.sign = np.zeros(256, bool)
+        self.sign[list(SIGNS)] = True
+
+    def _trimmed(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words without signs at their ends; a word of signs alone keeps one byte."""
+        s, e = s.copy(), e.copy()
+        for ends, step, at in ((s, 1, lambda x: x), (e, -1, lambda x: x - 1)):
+            live = np.flatnonzero(self.sign[data[at(ends)]] & (e - s > 1))
+            while len(live):
+                ends[live] += step
+                live = live[self.sign[data[at(ends[live])]] & (e[live] - s[live] > 1)]
+        return s, e
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, list[set[str]]]:
         out, variants = np.zeros((len(column), 5)), [set() for _ in range(len(column))]
         for i, _, data, bounds in text_chunks(column):
             _, s, e, first = self.words(data, bounds)
+            s, e = self._trimmed(data, s, e)
             hits, kinds = self.automaton.match(data, s, e)
             doc = np.searchsorted(first, hits, "right") - 1
             texts: dict[int, bytes] = {}
@@ -257,6 +285,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]
     return float(a), float(b)
 
 
+def misspelled_by(form: str, stem: bool, words: list[str]) -> int:
+    """How many of the words are the term or stem with an edit."""
+    data = [w.encode() for w in words]
+    ends = np.cumsum([len(d) for d in data], dtype=np.int64)
+    automaton = Automaton([] if stem else [form], [form] if stem else [])
+    return int((automaton.match(np.frombuffer(b"".join(data), np.uint8), np.append(0, ends[:-1]), ends)[1] == 3).sum()) if data else 0
+
+
 class Model:
     def __init__(self, automaton: Automaton, slope: float, intercept: float):
         self.automaton, self.slope, self.intercept = automaton, slope, intercept
@@ -268,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     few = F.broadcast(ids.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))  # `sample` rows at most
-    rows = docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample)
+    rows = written(rows.select("text", "toxic"), "sample")
     terms, stems = learn_lexicon(rows)
     rough = Automaton(terms, stems)
 
@@ -282,7 +319,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return rows.mapInArrow(run, "x double, hits double, variants array<string>, y int")
 
     seen = scan(rough).select(F.explode("variants").alias("w"), "y").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("b > 0").select("w").collect()
-    automaton = Automaton(terms, stems, {r["w"] for r in seen})
+    benign = sorted(r["w"] for r in seen)
+    rigid = {x for kind in (terms, stems) for x in kind if len(x) >= MIN_FUZZY and misspelled_by(x, kind is stems, benign) > COMMON_SHAPE}
+    automaton = Automaton(terms, stems, set(benign), rigid)
     # The curve needs counts of rows by sum and label only.
     counts = scan(automaton).groupBy("x", "y").agg(F.count("*").alias("n")).collect()
     x, y, n = (np.array([r[c] for r in counts], float) for c in ("x", "y", "n"))
