@@ -1,12 +1,12 @@
 """Language identification by compression with a Zstandard raw-content dictionary for each language.
 
-A language's dictionary is text of that language: whole documents, drawn in the order of a hash of id and text, while they
-fit in DICTIONARY bytes; at most SAMPLE documents of a language are looked at (the documented bound of the sample), and
-those longer than a quarter of the dictionary are passed over. A text is encoded whole (in small letters, its words a space apart) with each dictionary, and the smallest output names the language. What
+A language's dictionary is text of that language: of at most SAMPLE distinct texts (the documented bound of the sample: those whose hashes are
+lowest), a piece of a quarter of the dictionary or the whole text where that is less, until they fill
+DICTIONARY bytes. A text is encoded whole (in small letters, its words a space apart) with each dictionary, and the smallest output names the language. What
 the runner-up needs more, in bits to a byte of text, is the margin; a margin below `least_margin` is rejected as `und`.
 
 A null text, or one without a letter, is `und` with score 0. Equal sizes go to the language first in name. Repeated rows get
-equal results. Without any learnable row all texts are `und`. An empty table gives an empty result.
+equal results; equal texts with one label are learned from once. Only the named columns are read, so others may have any name. Without any learnable row all texts are `und`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +32,19 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", size: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, bytes]:
-    """A dictionary for each non-null label; at most `sample` texts of a label come to the driver, each of a quarter of `size` at most."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= size // 4))
-    order = W.partitionBy(label).orderBy(F.xxhash64(id_col, text), F.col(text))
-    ids = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"), F.row_number().over(order).alias("n")).where(F.col("n") <= sample)
+def learn(labelled: DataFrame, text: str = "text", label: str = "lang", size: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, bytes]:
+    """A dictionary for each non-null label; of at most `sample` texts of a label a piece of size / 4 characters at most comes to the driver. A long text's piece begins where its hash says."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    # Ranks are given to hashes alone, so no text moves but the chosen ones'.
+    chosen = rows.select("label", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("h"))).where(F.col("n") <= sample)
+    piece = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(length(text) - {size // 4}, 0) + 1) as int), {size // 4})")
+    picked = rows.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "n").agg(F.min(piece).alias("piece"))  # `sample` rows a label
     held: dict[str, list[bytes]] = defaultdict(list)
-    for r in ids.orderBy("label", "n").select("label", "text").toLocalIterator():
-        data = plain(r["text"])
-        if sum(map(len, held[r["label"]])) + len(data) <= size:
-            held[r["label"]].append(data)
-    return {k: b"\n".join(v)[:size] for k, v in sorted(held.items()) if v}
+    for r in picked.orderBy("label", "n").toLocalIterator():
+        left = size - sum(len(x) + 1 for x in held[r["label"]])
+        if left > 0:
+            held[r["label"]].append(plain(r["piece"])[: min(left, size // 4)])
+    return {k: b"\n".join(v) for k, v in sorted(held.items())}
 
 
 class Classifier:
