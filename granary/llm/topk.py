@@ -9,9 +9,11 @@ so far is out at the coarse level, else at the next one, and the survivors' scor
 Queries and candidates meet in blocks: each pair of a block of queries and a block of candidates is a task that
 keeps k rows a query, and a window over those keeps the k best. Ties go to the smaller id.
 
+Scores are exact: beyond 2**53 the products are taken in 64-bit integers, and a component or score that a long can't hold ends the query with an error.
+
 Vectors that are null or empty or hold null or non-finite components take no part. Vectors of different length
 never meet. A query's own row is no candidate for it; rows that repeat its id are. Null ids are candidates, the last among equal scores, never
-queries. Empty tables give an empty result.
+queries. Only the id and the vector are read, so other columns may have any name. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -39,27 +41,33 @@ def segments(x: np.ndarray, n: int) -> np.ndarray:
 
 def search(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarray, c_id: np.ndarray, k: int):
     """For each query its k best candidates here: (number of the query, number of the candidate, score) arrays. c must be in the order in which ties are resolved."""
-    levels = [(segments(q, n), segments(c, n)) for n in LEVELS]
+    fc, fq = c.astype(np.float64), q.astype(np.float64)
+    wide = float(np.abs(fc).max(initial=0)) * float(np.abs(fq).max(initial=0)) * fc.shape[1] >= 2**53
+    exact = c if wide else fc
+    longest = float(np.sqrt((fc * fc).sum(1).max(initial=0)))
+    levels = [(segments(fq, n), segments(fc, n)) for n in LEVELS]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     most = min(k + 1, len(c))  # a query's own row may be among them
     for i in range(0, len(q), AT_ONCE):
         bound = levels[0][0][i : i + AT_ONCE] @ levels[0][1].T
         first = np.argpartition(-bound, most - 1, axis=1)[:, :most]
         for j in range(len(bound)):
-            x, own = q[i + j], q_row[i + j]
+            x, own = (q if wide else fq)[i + j], q_row[i + j]
             seed = first[j][c_row[first[j]] != own]
-            scores = c[seed] @ x
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-            slack = 1e-6 * (1 + abs(least)) if np.isfinite(least) else 0
+            scores = exact[seed] @ x
+            least = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+            slack = 1e-6 * (1 + abs(least)) + 1e-12 * longest * float(np.sqrt((fq[i + j] ** 2).sum())) if np.isfinite(least) else 0
             left = np.flatnonzero(bound[j] >= least - slack)
             for fine_q, fine_c in levels[1:]:
                 left = left[fine_c[left] @ fine_q[i + j] >= least - slack]
             left = left[c_row[left] != own]
-            scores = c[left] @ x
-            best = np.argsort(-scores, kind="stable")[:k]
-            out.append((np.full(len(best), i + j), left[best], scores[best]))
+            scores = exact[left] @ x
+            if wide and len(left) and np.abs(fc[left] @ fq[i + j]).max() >= 2**62:
+                raise OverflowError("a score is too large for a long")
+            best = np.lexsort((np.arange(len(scores)), ~scores if wide else -scores))[:k]
+            out.append((np.full(len(best), i + j), left[best], scores[best].astype(np.int64) if wide else np.rint(scores[best]).astype(np.int64)))
     if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -68,7 +76,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     spark = session(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.coalesce(is_query, F.lit(False)) & F.col(id_col).isNotNull()).alias("q"), F.monotonically_increasing_id().alias("row"))
     base = base.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    base = base.withColumn("v", F.expr(f"transform(v, x -> floor({scale}D * x))")).withColumn("d", F.size("v"))
+    base = base.withColumn("v", F.expr(f"transform(v, x -> if(abs({scale}D * x) < 9.2e18D, floor({scale}D * x), cast(raise_error('a component is too large for a long') as bigint)))")).withColumn("d", F.size("v"))
     base = written(base, "vectors")
     n = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)).alias("q")).first()
     q_blocks, c_blocks = max(1, -(-n["q"] // QUERY_BLOCK)), max(1, -(-n["n"] // BLOCK))
@@ -100,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     def met(table: pa.Table) -> pa.Table:
         sides: dict[int, list] = {0: [], 1: []}
         for d, q, ids, known, rows, m, small in zip(*[table.column(c).to_pylist() for c in ("d", "q", "ids", "known", "rows", "m", "small")], strict=True):
-            sides[q].append((np.frombuffer(ids, np.int64), np.frombuffer(known, bool), np.frombuffer(rows, np.int64), np.frombuffer(m, np.int16 if small else np.int64).reshape(-1, d).astype(np.float64)))
+            sides[q].append((np.frombuffer(ids, np.int64), np.frombuffer(known, bool), np.frombuffer(rows, np.int64), np.frombuffer(m, np.int16 if small else np.int64).reshape(-1, d).astype(np.int64)))
         names = ["query_row", "query_id", "vec_id", "score"]
         if not sides[0] or not sides[1]:
             return pa.table({c: pa.array([], pa.int64()) for c in names})
@@ -108,7 +116,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
         order = np.lexsort((c_row, c_id))
         c_id, c_known, c_row, c = c_id[order], c_known[order], c_row[order], c[order]
         i, j, score = search(q, q_row, c, c_row, c_id, k)
-        return pa.table({"query_row": q_row[i], "query_id": q_id[i], "vec_id": pa.array(c_id[j], mask=~c_known[j]), "score": np.rint(score).astype(np.int64)})
+        return pa.table({"query_row": q_row[i], "query_id": q_id[i], "vec_id": pa.array(c_id[j], mask=~c_known[j]), "score": score})
 
     found = pairs.groupBy("d", "qb", "cb").applyInArrow(met, "query_row long, query_id long, vec_id long, score long")
     order = W.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
