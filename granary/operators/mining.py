@@ -23,8 +23,8 @@ def supports_by_pairs(items: DataFrame) -> DataFrame:
 def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3, n: int | None = None) -> DataFrame:
     """(items sorted, size, n, support) of itemsets in at least ceil(min_support * transactions), level by level.
 
-    Each transaction keeps its frequent items only; sets of a size come from its own (sorted) array, and triples only where all
-    their pairs are frequent. Counts are aggregated before the shuffle."""
+    Each transaction keeps its frequent items only; pairs come from its own (sorted) array, and triples from its frequent
+    pairs with one first item, if their other pair is frequent too. Counts are aggregated before the shuffle."""
     if not 1 <= max_len <= 3:
         raise ValueError("max_len must be 1, 2 or 3")
     total = items.select("tid").distinct().agg(F.count("*").alias("total"))
@@ -38,10 +38,11 @@ def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3, n:
         levels.append(two.select("items", F.lit(2).alias("size"), "n", "total"))
     if max_len > 2:
         known = two.select("items")
-        triples = rows.where("size(w) > 2").select(F.explode(F.expr("flatten(flatten(transform(w, (x, i) -> transform(slice(w, i + 2, size(w)), (y, j) -> transform(slice(w, i + j + 3, size(w)), z -> array(x, y, z))))))")).alias("items"))
+        own = rows.where("size(w) > 2").select("tid", F.explode(F.expr("flatten(transform(w, (x, i) -> transform(slice(w, i + 2, size(w)), y -> array(x, y))))")).alias("items")).join(known, "items", "left_semi")
+        fans = own.groupBy("tid", F.col("items")[0].alias("x")).agg(F.array_sort(F.collect_list(F.col("items")[1])).alias("ys")).where("size(ys) > 1")
+        triples = fans.select(F.explode(F.expr("flatten(transform(ys, (y, i) -> transform(slice(ys, i + 2, size(ys)), z -> array(x, y, z))))")).alias("items"))
         three = triples.groupBy("items").agg(F.count("*").alias("n"))
-        for a, b in ((0, 1), (0, 2), (1, 2)):
-            three = three.join(known.select(F.col("items").alias("_k")), F.array(F.col("items")[a], F.col("items")[b]) == F.col("_k"), "left_semi")
+        three = three.join(known.select(F.col("items").alias("_k")), F.array(F.col("items")[1], F.col("items")[2]) == F.col("_k"), "left_semi")
         three = three.crossJoin(F.broadcast(total)).where(F.col("n") >= least)
         levels.append(three.select("items", F.lit(3).alias("size"), "n", "total"))
     out = levels[0]

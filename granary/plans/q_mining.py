@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from granary.operators import mining
 from granary.plans.catalog import query, table
+from granary.sources.store import written
 
 SUPPORT = 0.001
-ITEMS = "items AS (SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL), tot AS (SELECT count(DISTINCT tid) AS total FROM items)"
-SETS = ITEMS + f""", l1 AS (SELECT [item] AS items, 1 AS size, count(*) AS n FROM items GROUP BY item HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
-l2 AS (SELECT [a.item, b.item] AS items, 2 AS size, count(*) AS n FROM items a JOIN items b ON a.tid = b.tid AND a.item < b.item GROUP BY ALL HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
-l3 AS (SELECT [a.item, b.item, c.item] AS items, 3 AS size, count(*) AS n FROM items a JOIN items b ON a.tid = b.tid AND a.item < b.item JOIN items c ON a.tid = c.tid AND b.item < c.item GROUP BY ALL HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
-sets AS (SELECT *, n / total AS support FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3), tot)"""
-RULES = SETS + """, sub AS (SELECT items, n, total, unnest(CASE WHEN size = 2 THEN list_transform(items, lambda x: [x]) ELSE list_concat(list_transform(items, lambda x: [x]), list_transform(items, lambda x: list_filter(items, lambda y: y <> x))) END) AS antecedent FROM sets WHERE size > 1),
-s2 AS (SELECT *, list_filter(items, lambda x: NOT list_contains(antecedent, x)) AS consequent FROM sub),
+ITEMS = "items AS MATERIALIZED (SELECT DISTINCT l_orderkey AS tid, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL), tot AS (SELECT count(DISTINCT tid) AS total FROM items)"
+SETS = ITEMS + f""", l1 AS MATERIALIZED (SELECT [item] AS items, 1 AS size, count(*) AS n FROM items GROUP BY item HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
+l2 AS MATERIALIZED (SELECT [a.item, b.item] AS items, 2 AS size, count(*) AS n FROM items a JOIN items b ON a.tid = b.tid AND a.item < b.item GROUP BY ALL HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
+l3 AS MATERIALIZED (SELECT [a.item, b.item, c.item] AS items, 3 AS size, count(*) AS n FROM items a JOIN items b ON a.tid = b.tid AND a.item < b.item JOIN items c ON a.tid = c.tid AND b.item < c.item GROUP BY ALL HAVING count(*) >= (SELECT ceil({SUPPORT} * total) FROM tot)),
+sets AS MATERIALIZED (SELECT *, n / total AS support FROM (FROM l1 UNION ALL FROM l2 UNION ALL FROM l3), tot)"""
+RULES = SETS + """, sub AS MATERIALIZED (SELECT items, n, total, unnest(CASE WHEN size = 2 THEN list_transform(items, lambda x: [x]) ELSE list_concat(list_transform(items, lambda x: [x]), list_transform(items, lambda x: list_filter(items, lambda y: y <> x))) END) AS antecedent FROM sets WHERE size > 1),
+s2 AS MATERIALIZED (SELECT *, list_filter(items, lambda x: NOT list_contains(antecedent, x)) AS consequent FROM sub),
 rules AS (SELECT antecedent, consequent, s2.n / s2.total AS support, s2.n / a.n AS confidence, s2.n / a.n / (c.n / s2.total) AS lift, s2.n / s2.total - (a.n / s2.total) * (c.n / s2.total) AS leverage, (1 - c.n / s2.total) / greatest(1 - s2.n / a.n, 1e-6::DOUBLE) AS conviction FROM s2 JOIN sets a ON a.items = antecedent JOIN sets c ON c.items = consequent),
 ranked AS (SELECT *, row_number() OVER (ORDER BY round(lift, 9) DESC, round(confidence, 9) DESC, antecedent, consequent) AS rule_rank FROM rules QUALIFY rule_rank <= 250)"""
 CLASSES = ITEMS + """, lab AS (SELECT o_orderkey AS tid, o_orderpriority AS label FROM orders), pri AS (SELECT label, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY label),
@@ -33,7 +34,7 @@ def items(spark, d):
 
 
 def sets(spark, d):
-    return mining.frequent_itemsets(items(spark, d), SUPPORT)
+    return written(mining.frequent_itemsets(items(spark, d), SUPPORT), "itemsets")  # read by every join of the rules
 
 
 def rounded(df, *cols):
