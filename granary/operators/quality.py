@@ -22,9 +22,14 @@ def duplicates_within(df: DataFrame, split: str = "split", text: str = "text", l
 
 
 def first_per_text(df: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """The first row of each text in a total order."""
-    w = W.partitionBy(text).orderBy(order)
-    return df.where(F.col(text).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each text in a total order: a partial aggregate, so copies of one text don't meet."""
+    return _first(df.where(F.col(text).isNotNull()), order, text)
+
+
+def _first(df: DataFrame, order: str, text: str) -> DataFrame:
+    """The first row of each text, a null one included, by the texts' SHA-256."""
+    least = F.min(F.struct(F.col(order).alias("o"), F.struct("*").alias("row")))
+    return df.groupBy(F.sha2(text, 256).alias("h")).agg(least.alias("first")).select("first.row.*")
 
 
 def overlap(df: DataFrame, a: str, b: str, order: str = "doc_id", split: str = "split", text: str = "text", label: str = "label") -> DataFrame:
@@ -70,8 +75,7 @@ def clean(df: DataFrame, order: str = "doc_id", split: str = "split", text: str
     a = t.join(held, text, "left_anti")
     n_labels = a.where(F.col(text).isNotNull()).groupBy(text).agg(F.count_distinct(label).alias("k")).where("k > 1").select(text)
     b = a.join(n_labels, text, "left_anti")
-    w = W.partitionBy(text).orderBy(order)
-    c = b.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    c = _first(b, order, text)
     n = lambda x, name: x.agg(F.count("*").alias(name))
     counts = n(t, "before").crossJoin(n(a, "_a")).crossJoin(n(b, "_b")).crossJoin(n(c, "after"))
     return c, counts.select("before", (F.col("before") - F.col("_a")).alias("leakage"), (F.col("_a") - F.col("_b")).alias("conflicting"), (F.col("_b") - F.col("after")).alias("redundant"), "after")

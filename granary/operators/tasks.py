@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.store import written
+from granary.sources.store import numbered
 
 PRIORITIES = ("high", "medium", "low")
 NO_DATE = "9999"
@@ -49,14 +49,7 @@ def places(tasks: DataFrame, mode: str) -> DataFrame:
     """id and place, from 1, of every task in a mode's order: ranges are sorted apart and shifted by the counts before them."""
     keys = sort_keys(mode)
     slim = tasks.select("id", "completed", "position", "created_at", "due_date", "priority")
-    cut = written(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "places")
-    counts = cut.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_range").collect()  # one row a partition
-    shift, total = [], 0
-    for r in counts:
-        shift.append((r["_range"], total - r["first"] + 1))
-        total += r["n"]
-    shifts = tasks.sparkSession.createDataFrame(shift or [(0, 0)], "_range int, _shift long")
-    return cut.join(F.broadcast(shifts), "_range").select("id", (F.col("_at") + F.col("_shift")).alias("place"))
+    return numbered(slim, keys, "place").select("id", "place")
 
 
 def counts(tasks: DataFrame, today: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
+from granary.sources.store import numbered
 
 
 def token_rows(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -48,15 +49,23 @@ def coverage(freq: DataFrame, shares=(0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
 
 
 def ranks(freq: DataFrame) -> DataFrame:
-    """Each type's rank (ties by token) and the first rank of its frequency; ranks within a frequency need no global sort."""
+    """Each type's rank (ties by token) and the first rank of its frequency. Ranges of types are sorted apart and shifted by the counts before them, so the many types of one frequency share out."""
+    freq = numbered(freq.select("token", "f"), [F.desc("f"), F.col("token")], "rank")
+    return freq.join(F.broadcast(ahead_of(freq)), "f").select("token", "f", "rank", (F.col("ahead") + 1).alias("first_rank"))
+
+
+def ahead_of(freq: DataFrame) -> DataFrame:
+    """For each frequency how many types have a higher one."""
     w = W.orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, -1)
-    ahead = by_frequency(freq).select("f", F.coalesce(F.sum("types").over(w), F.lit(0)).alias("ahead"))
-    return freq.join(ahead, "f").select("token", "f", (F.col("ahead") + F.row_number().over(W.partitionBy("f").orderBy("token"))).alias("rank"), (F.col("ahead") + 1).alias("first_rank"))
+    return by_frequency(freq).select("f", "types", F.coalesce(F.sum("types").over(w), F.lit(0)).alias("ahead"))
 
 
 def zipf_fit(freq: DataFrame) -> DataFrame:
     """Least squares of ln frequency on ln rank."""
-    x = ranks(freq).select(F.log("rank").alias("x"), F.log("f").alias("y"))
+    # Ranks are written out from the table of frequencies, a piece of each at a time: the types themselves don't matter.
+    pieces = ahead_of(freq).select("f", "ahead", "types", F.explode(F.sequence(F.lit(0).cast("long"), F.col("types") - 1, F.lit(65_536).cast("long"))).alias("at"))
+    each = pieces.select("f", F.explode(F.expr("sequence(ahead + at + 1, ahead + least(at + 65536, types))")).alias("rank"))
+    x = each.select(F.log("rank").alias("x"), F.log("f").alias("y"))
     return x.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.regr_r2("y", "x"), 6).alias("r2"))
 
 
@@ -84,7 +93,8 @@ def top_k(df: DataFrame, k: int, by: list[str], *order) -> DataFrame:
 
 def js_divergence(counts: DataFrame, label: str = "label") -> DataFrame:
     """Jensen-Shannon divergence in bits of each pair of classes over their union of tokens."""
-    p = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(label)))
+    totals = counts.groupBy(label).agg(F.sum("n").alias("_all"))  # classes are few
+    p = counts.join(F.broadcast(totals), label).withColumn("p", F.col("n") / F.col("_all"))
     # One row a token: pairs of classes are made from its (few) classes, absent ones counting 0.
     rows = p.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct(label, "p"))).alias("m"))
     names = counts.select(label).distinct()

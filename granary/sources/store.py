@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop_written(df: DataFrame | None) -> None:
     if df is not None and getattr(df, "_granary_path", None):
         remove(df.sparkSession, df._granary_path)
+
+
+def numbered(df: DataFrame, keys: list, name: str) -> DataFrame:
+    """df with `name`: each row's number, from 1, in the order of the keys. Ranges are sorted apart and shifted by the counts before them."""
+    cut = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    counts = cut.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_range").collect()  # one row a partition
+    shift, total = [], 0
+    for r in counts:
+        shift.append((r["_range"], total - r["first"] + 1))
+        total += r["n"]
+    shifts = df.sparkSession.createDataFrame(shift or [(0, 0)], "_range int, _shift long")
+    return cut.join(F.broadcast(shifts), "_range").select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
