@@ -47,3 +47,9 @@ def byte_ids(text: Column, offset: int = 6) -> Column:
     return F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), lambda i: (F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + offset))
     )
+
+
+def decoded(ids: Column, offset: int = 6) -> Column:
+    """The text of byte token ids: special ids are left out, and bytes that aren't UTF-8 become U+FFFD."""
+    two = F.transform(F.filter(ids, lambda i: i >= offset), lambda i: F.lpad(F.hex(i - offset), 2, "0"))
+    return F.make_valid_utf8(F.unhex(F.array_join(two, "")).cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,21 +103,24 @@ def mcnemar(wide: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
     return x.withColumn("p", F.expr(f"if({n} = 0, cast(null as double), round(least(1D, 2 * {tail}), 9))"))
 
 
-def bootstrap(wide: DataFrame, a: str, b: str, order: str, resamples: int, seed: int = 7, label: str = "label") -> DataFrame:
-    """Paired bootstrap of the macro-F1 difference b - a: resample r draws its i-th row by md5(seed|r|i), so any engine gets the same. Sums for each resample and class come from one aggregate."""
-    rows = wide.select((F.row_number().over(W.orderBy(order)) - 1).alias("j"), label, a, b)  # a test split: small beside the resamples
-    n = rows.agg(F.count("*").alias("n"))
-    spark = wide.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("r")).crossJoin(F.broadcast(n)).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
-    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long"), F.col("n"))
-    drawn = draws.select("r", pick.alias("j")).groupBy("r", "j").agg(F.count("*").alias("m")).join(rows, "j")
-    # A row counts for its true class and its two predictions.
-    each = F.explode(F.array(*[F.struct(F.col(c).alias("cls"), F.lit(k).alias("k")) for k, c in enumerate((label, a, b))]))
-    ok_a, ok_b = (F.when((F.col("k") == 0) & (F.col(label) == F.col(c)), F.col("m")).otherwise(0) for c in (a, b))
-    x = drawn.select("r", "m", label, a, b, each.alias("e")).select("r", "m", label, a, b, "e.cls", "e.k").groupBy("r", "cls").agg(
-        F.sum(F.when(F.col("k") == 0, F.col("m")).otherwise(0)).alias("t"), F.sum(F.when(F.col("k") == 1, F.col("m")).otherwise(0)).alias("pa"), F.sum(F.when(F.col("k") == 2, F.col("m")).otherwise(0)).alias("pb"), F.sum(ok_a).alias("ha"), F.sum(ok_b).alias("hb"),
-    )
-    return x.where("t > 0").groupBy("r").agg((F.avg(2 * F.col("hb") / (F.col("t") + F.col("pb"))) - F.avg(2 * F.col("ha") / (F.col("t") + F.col("pa")))).alias("delta"))
+def bootstrap(wide: DataFrame, a: str, b: str, resamples: int, seed: int = 7, label: str = "label") -> DataFrame:
+    """Paired bootstrap of the macro-F1 difference b - a: (r, delta). A resample's figures depend only on how often it draws each combination of
+    (label, a, b), so these counts (a cube of the classes, however many the rows) are drawn from their multinomial distribution; rows never leave their tasks."""
+    cells = wide.groupBy(label, a, b).agg(F.count("*").alias("n")).orderBy(label, a, b).collect()
+    if not cells:
+        return wide.sparkSession.createDataFrame([], "r long, delta double")
+    n = np.array([c["n"] for c in cells], np.int64)
+    classes = sorted({c[label] for c in cells}, key=str)
+    hit = lambda f: np.array([[f(c, k) for k in classes] for c in cells], np.int64)
+    t, pa, pb = (hit(lambda c, k, x=x: c[x] == k) for x in (label, a, b))
+    rng, out = np.random.default_rng(seed), []
+    for i in range(0, resamples, 1000):
+        drawn = rng.multinomial(n.sum(), n / n.sum(), min(1000, resamples - i))
+        true, f1 = drawn @ t, []
+        for p in (pa, pb):
+            f1.append(np.nansum(np.where(true > 0, 2 * (drawn @ (t * p)) / np.maximum(true + drawn @ p, 1), 0.0), 1) / (true > 0).sum(1))
+        out += [(i + j, float(x)) for j, x in enumerate(f1[1] - f1[0])]
+    return wide.sparkSession.createDataFrame(out, "r long, delta double")
 
 
 def bootstrap_summary(deltas: DataFrame) -> DataFrame:

@@ -96,16 +96,12 @@ def _(spark, d):
     return evaluate.mcnemar(wide(spark, d), "m1", "m2")
 
 
-B = 200
+B = 10_000
 
 
-@query("paired_bootstrap", f"""WITH {WIDE}, rows AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS j, label, m2 AS a, m1 AS b FROM wide WHERE doc_id % 10 = 9), n AS (SELECT count(*) AS n FROM rows),
-dr AS (SELECT r, CAST(('0x' || substr(md5('7|' || r || '|' || i), 1, 12)) AS BIGINT) % n AS j FROM range({B}) t(r), n, LATERAL (SELECT unnest(range(n)) AS i)), x AS (SELECT r, label, a, b FROM dr JOIN rows USING (j)), c AS (SELECT DISTINCT r, label AS cls FROM x),
-f AS (SELECT c.r, c.cls, count(*) FILTER (x.label = cls) AS t, count(*) FILTER (x.a = cls) AS pa, count(*) FILTER (x.b = cls) AS pb, count(*) FILTER (x.label = cls AND x.a = cls) AS ha, count(*) FILTER (x.label = cls AND x.b = cls) AS hb FROM c JOIN x ON c.r = x.r GROUP BY ALL),
-dl AS (SELECT r, avg(2 * hb / (t + pb)) - avg(2 * ha / (t + pa)) AS delta FROM f GROUP BY r)
-SELECT count(*) AS resamples, round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi, round(avg((delta > 0)::INTEGER), 6) AS p_better, round(avg((delta >= 0.03::DOUBLE)::INTEGER), 6) AS p_over_bar FROM dl""")
+@query("paired_bootstrap")
 def _(spark, d):
-    return evaluate.bootstrap_summary(evaluate.bootstrap(wide(spark, d).where("doc_id % 10 = 9"), "m2", "m1", "doc_id", B))
+    return evaluate.bootstrap_summary(evaluate.bootstrap(wide(spark, d).where("doc_id % 10 = 9"), "m2", "m1", B))
 
 
 @query("split_label_words", f"""WITH {PREDS}, p AS (SELECT unnest(['der', 'the', 'las', 'une']) AS probe) SELECT probe, model, count(*) FILTER (doc_id % 10 < 8) AS n_train, round(avg((label = 'en')::INTEGER) FILTER (doc_id % 10 < 8), 6) AS train_en_share, round(avg((label = pred)::INTEGER) FILTER (doc_id % 10 >= 8), 6) AS held_accuracy FROM p JOIN preds ON contains(text, ' ' || probe || ' ') GROUP BY ALL""")
@@ -148,7 +144,7 @@ def _(spark, d):
     return evaluate.decide(x.withColumn("family", F.when(F.col("model") < "m", "classical").otherwise("tuned")))
 
 
-AUDIT = "SELECT event_type || '_' || user_id AS model, count(*) AS runs, count(*) FILTER (value > 20) AS warmups, 'cpu' || (user_id % 9 = 0)::INTEGER AS cpu, 'gpu' AS gpu, '16' AS ram FROM events WHERE user_id < 40 GROUP BY event_type, user_id"
+AUDIT = "SELECT event_type || '_' || user_id AS model, count(*) AS runs, count(*) FILTER (value > 20) AS warmups, 'cpu' || (user_id % 9 = 0)::INTEGER AS cpu, 'gpu' AS gpu, '16' AS ram FROM events GROUP BY event_type, user_id"
 
 
 def timed_runs(events):
@@ -157,15 +153,6 @@ def timed_runs(events):
 
 
 @query("protocol_audit", f"WITH r AS ({AUDIT}), f AS (SELECT cpu || '|' || gpu || '|' || ram AS m FROM r ORDER BY model LIMIT 1) SELECT model, 'runs' AS problem FROM r WHERE runs < 200 UNION ALL SELECT model, 'warmups' FROM r WHERE warmups < 20 UNION ALL SELECT model, 'hardware' FROM r, f WHERE cpu || '|' || gpu || '|' || ram <> m")
-def _(spark, d):
-    return evaluate.protocol_violations(timed_runs(table(spark, d, "events").where("user_id < 40")))
-
-
-#: All groups of the table.
-AUDIT_ALL = AUDIT.replace(" WHERE user_id < 40", "")
-
-
-@query("protocol_audit_all", f"WITH r AS ({AUDIT_ALL}), f AS (SELECT cpu || '|' || gpu || '|' || ram AS m FROM r ORDER BY model LIMIT 1) SELECT model, 'runs' AS problem FROM r WHERE runs < 200 UNION ALL SELECT model, 'warmups' FROM r WHERE warmups < 20 UNION ALL SELECT model, 'hardware' FROM r, f WHERE cpu || '|' || gpu || '|' || ram <> m")
 def _(spark, d):
     return evaluate.protocol_violations(timed_runs(table(spark, d, "events")))
 

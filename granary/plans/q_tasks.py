@@ -39,30 +39,17 @@ def _(spark, d):
 ORDERS = {"manual": "completed, position, created_at DESC", "due": "coalesce(due_date, '9999')", "priority": "CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END", "created": "created_at DESC"}
 
 
-@query("task_sort_modes", f"WITH {TASKS} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, id, CAST(row_number() OVER (ORDER BY {o}, id) AS INTEGER) AS place FROM tasks QUALIFY place <= 50" for m, o in ORDERS.items()))
-def _(spark, d):
-    from pyspark.sql import Window as W
-
-    t = snapshot(spark, d)
-    return profile.union_all([t.orderBy(*tasks.sort_keys(m)).limit(50).select(F.lit(m).alias("mode"), "id", F.row_number().over(W.orderBy(*tasks.sort_keys(m))).alias("place")) for m in ORDERS])
-
-
-@query("task_order", f"WITH {TASKS} SELECT id FROM tasks ORDER BY completed, position, created_at DESC, id LIMIT 100")
-def _(spark, d):
-    return snapshot(spark, d).orderBy(*tasks.sort_keys("manual")).limit(100).select("id")
-
-
-#: Every task with its place; the two queries above have the first ones only.
+#: Every task with its place.
 PLACES = {m: f"SELECT '{m}' AS mode, id, row_number() OVER (ORDER BY {o}, id) AS place FROM tasks" for m, o in ORDERS.items()}
 
 
-@query("task_sort_modes_all", f"WITH {TASKS} " + " UNION ALL ".join(PLACES.values()))
+@query("task_sort_modes", f"WITH {TASKS} " + " UNION ALL ".join(PLACES.values()))
 def _(spark, d):
     t = snapshot(spark, d)
     return profile.union_all([tasks.places(t, m).select(F.lit(m).alias("mode"), "id", "place") for m in ORDERS])
 
 
-@query("task_order_all", f"WITH {TASKS} SELECT id, place FROM ({PLACES['manual']})")
+@query("task_order", f"WITH {TASKS} SELECT id, place FROM ({PLACES['manual']})")
 def _(spark, d):
     return tasks.places(snapshot(spark, d), "manual")
 
@@ -146,6 +133,14 @@ def _(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.size(ids).cast("long").alias("n_bytes"), F.aggregate(ids, F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"))
 
 
+@query("byte_decode", "SELECT item_id, md5(text) AS h FROM benchmark")
+def _(spark, d):
+    """Texts from their token ids."""
+    from granary.functions.text import byte_ids, decoded
+
+    return table(spark, d, "benchmark").select("item_id", F.md5(decoded(byte_ids(F.col("text")))).alias("h"))
+
+
 @query("token_inspect", "WITH b AS (SELECT item_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM benchmark) SELECT item_id, CAST(i AS INTEGER) AS \"index\", CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) + 6 AS token_id, CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) AS byte FROM b")
 def _(spark, d):
     return sequences.token_inspect(table(spark, d, "benchmark"), "item_id", "text").drop("piece")
@@ -292,25 +287,32 @@ def _(spark, d):
     return x.groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("n_name").alias("skills"), F.count_if(F.trim("n_name") == "").alias("blank"))
 
 
-@query("sink_json_report")
+@query("sink_json_report", "SELECT CAST(to_json(nation) AS VARCHAR) AS value FROM nation")
 def _(spark, d):
     path = new_path(spark, "report")
     writers.json_report(table(spark, d, "nation"), path)
     return spark.read.text(path)
 
 
-@query("sink_csv_report")
+@query("sink_csv_report", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def _(spark, d):
     path = new_path(spark, "report")
     writers.csv_report(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
     return spark.read.csv(path, header=True)
 
 
-@query("scan_npy")
+@query("scan_npy", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width FROM embeddings")
 def _(spark, d):
     return readers.read_vectors(spark, f"{d}/embeddings.parquet").select("vec_id", F.size("embedding").alias("width"))
 
 
+@query("scan_sqlite", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    path = new_path(spark, "sqlite")
+    writers.sqlite_file(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "nation")
+    return readers.read_sqlite_files(spark, path, "nation", "n_nationkey int, n_name string")
+
+
 @query("artifact_size")
 def _(spark, d):
     path = new_path(spark, "artifact")

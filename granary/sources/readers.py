@@ -63,6 +63,31 @@ def read_sqlite(spark: SparkSession, url: str, table: str, driver: str = "org.sq
     return spark.read.format("jdbc").options(url=url, dbtable=table, driver=driver).load()
 
 
+def read_sqlite_files(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """A table of SQLite files, each read by one task from its bytes, so they can lie in any store that Spark reads. Columns go by the schema's order."""
+    import sqlite3
+
+    import pyarrow as pa
+
+    fields = T._parse_datatype_string(schema)
+    names = ", ".join(f'"{f.name}"' for f in fields)
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                db = sqlite3.connect(":memory:")
+                db.deserialize(data)
+                rows = db.execute(f'SELECT {names} FROM "{table}"')
+                while some := rows.fetchmany(10_000):
+                    yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in some], out)
+                db.close()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(fields)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, fields)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Dense vectors kept as array<float> in Parquet, widened for exact products."""
     df = spark.read.parquet(path)

@@ -25,4 +25,4 @@ def test_every_task_has_its_place(spark, mode):
 def test_queries_return_all_tasks(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/orders.parquet").count()
-    assert n > 100 and QUERIES["task_order_all"](spark, d).count() == n and QUERIES["task_sort_modes_all"](spark, d).count() == 4 * n
+    assert n > 100 and QUERIES["task_order"](spark, d).count() == n and QUERIES["task_sort_modes"](spark, d).count() == 4 * n
