@@ -67,7 +67,8 @@ def dedup(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text: str
     maybe = marked(rows, gone, "number", "maybe")
     none = F.array().cast("array<int>")
     untouched = maybe.where("not maybe").select("row.*", n_lines, F.lit(0).alias("n_removed"), none.alias("removed"))
-    met = maybe.where("maybe").join(gone, "number", "left").withColumn("removed", F.coalesce("removed", none))
+    # What goes grows with the input, so it isn't broadcast at any size.
+    met = maybe.where("maybe").join(gone.hint("merge"), "number", "left").withColumn("removed", F.coalesce("removed", none))
     left = F.when(F.size("removed") > 0, shortened(F.coalesce(body, F.lit("")), "removed")).otherwise(body)
     cols = [left.alias(c) if c == text else F.col(f"row.`{c}`") for c in own]
     return untouched.unionByName(met.select(*cols, n_lines, F.size("removed").alias("n_removed"), "removed"))
