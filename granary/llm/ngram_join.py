@@ -43,7 +43,7 @@ from granary.operators.graph import components
 
 N_WORDS, PERCENT = 5, 80
 HOT, PREFIX_MORE, LEAF, BLOCK, BLOCK_SHINGLES, APART = 512, 0.06, 32, 16_000, 4_000_000, 1_000_000
-GROUP_OF, LEAST_GROUPS, MOST_GROUPS, FINE = 4, 32, 4096, 8
+GROUP_OF, LEAST_GROUPS, MOST_GROUPS, FINE = 4, 32, 4096, 2
 #: Bits of a place's name: the hash of its sets, that of its smallest one; the rest is its size.
 AT, LEAD = 38, 20
 
