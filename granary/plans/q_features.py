@@ -218,15 +218,15 @@ def _(spark, d):
 
 @query("kmeans_sweep")
 def _(spark, d):
-    return cluster.kmeans_sweep(table(spark, d, "embeddings"), [2, 5, 10], "embedding")
+    return cluster.kmeans_sweep(table(spark, d, "embeddings"), [2, 5, 10, 20], "embedding", seeds=range(3))
 
 
 @query("kmeans_search_seg")
 def _(spark, d):
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-
     x = features.impute_scale(customers(spark, d), NINE).select("id", F.array(*NINE).alias("v"))
-    return cluster.kmeans(x, 5, "v").groupBy("cluster").agg(F.count("*").alias("n"))
+    sweep = cluster.kmeans_sweep(x, range(2, 9), "v")
+    best = sweep.orderBy(F.desc("silhouette"), "k").first()["k"]
+    return cluster.kmeans(x, best, "v").groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query("gmm")

@@ -29,13 +29,14 @@ def _(spark, d):
 
 @query("boosting")
 def _(spark, d):
-    return models.fit_predict(*train_test(spark, d), models.trees())
+    return models.fit_predict(*train_test(spark, d), models.trees(), width=models.TREE_WIDTH)
 
 
 @query("grid_cv")
 def _(spark, d):
     df = sequences.folds(corpus(spark, d), "doc_id", "label", k=2)
-    return models.grid_cv(df, {"C=0.1": models.logistic(0.1, 1000, iterations=10), "C=1": models.logistic(1.0, 1000, iterations=10)}, "fold")
+    n = df.count() // 2
+    return models.grid_cv(df, {f"C={c}": models.logistic(c, n, iterations=10) for c in (0.1, 1.0)}, "fold")
 
 
 @query("stratified_baseline", f"WITH {CORPUS}, c AS (SELECT label, count(*) AS n FROM corpus WHERE split = 'train' GROUP BY label), s AS (SELECT label, sum(n) OVER (ORDER BY label) / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY label) - n) / sum(n) OVER () AS lo FROM c), u AS (SELECT doc_id, CAST(('0x' || substr(md5('7|' || doc_id), 1, 12)) AS BIGINT) / {float(1 << 48)}::DOUBLE AS u FROM corpus WHERE split = 'test') SELECT doc_id, label AS pred FROM u JOIN s ON u >= lo AND u < hi")
@@ -112,5 +113,5 @@ def _(spark, d):
 
     a, b = train_test(spark, d)
     path = new_path(spark, "model")
-    models.text_pipeline(models.logistic(1.0, 1000, iterations=5)).fit(models.with_tokens(a)).write().overwrite().save(path)
+    models.text_pipeline(models.logistic(1.0, a.count(), iterations=5)).fit(models.with_tokens(a)).write().overwrite().save(path)
     return PipelineModel.load(path).transform(models.with_tokens(b)).select("doc_id", "_p").withColumnRenamed("_p", "pred")
