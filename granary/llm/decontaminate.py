@@ -43,23 +43,25 @@ def _kept(h: str = "_h") -> tuple[str, str]:
 PRINT = "struct<_at:int,_gram:bigint,_len:int,_near:array<bigint>>"
 
 
-def fingerprints(short: list[int]) -> F.Column:
-    """Of the word hashes in _h an array of (_at, _gram, _len, _near): each kept gram with its context, WINDOW + W_GRAMS - 1 hashes or fewer (_len WINDOW), and the windows of each of the short lengths."""
+def fingerprints(rows: DataFrame, short: list[int]) -> tuple[DataFrame, F.Column]:
+    """rows with _h (word hashes) and what it takes for an array of (_at, _gram, _len, _near): each kept gram with its context, WINDOW + W_GRAMS - 1 hashes or fewer (_len WINDOW), and the windows of each of the short lengths."""
     gram, least = _kept()
-    at = f"transform(_p, p -> named_struct('_at', cast(p as int), '_gram', _g[cast(p as int)], '_len', {WINDOW}, '_near', slice(_h, cast(greatest(p - {W_GRAMS - 1}, 0) as int) + 1, {WINDOW + W_GRAMS - 1})))"
-    # Nested transforms over one-element arrays name the grams and the kept places once.
-    kept = f"flatten(transform(array({gram}), _g -> flatten(transform(array(array_distinct({least})), _p -> {at}))))"
-    some = [F.when(F.size("_h") >= WINDOW, F.expr(kept)).otherwise(F.array().cast(f"array<{PRINT}>"))]
+    enough, none = F.size("_h") >= WINDOW, F.array().cast("array<bigint>")
+    # Columns of their own: the grams and the kept places are read many times.
+    rows = rows.withColumn("_g", F.when(enough, F.expr(gram)).otherwise(none))
+    rows = rows.withColumn("_p", F.when(enough, F.array_distinct(F.expr(least))).otherwise(none))
+    some = [F.expr(f"transform(_p, p -> named_struct('_at', cast(p as int), '_gram', _g[cast(p as int)], '_len', {WINDOW}, '_near', slice(_h, cast(greatest(p - {W_GRAMS - 1}, 0) as int) + 1, {WINDOW + W_GRAMS - 1})))")]
     for n in short:
         one = f"transform(sequence(0, size(_h) - {n}), i -> named_struct('_at', cast(i as int), '_gram', xxhash64({', '.join(f'_h[i + {j}]' for j in range(n))}), '_len', {n}, '_near', cast(null as array<bigint>)))"
         some.append(F.when(F.size("_h") >= n, F.expr(one)).otherwise(F.array().cast(f"array<{PRINT}>")))
-    return F.concat(*some)
+    return rows, F.concat(*some)
 
 
 def item_grams(benchmark: DataFrame, short: list[int]) -> DataFrame:
     """The items' kept grams (windows, where an item is shorter than WINDOW): item_id, _gram, _len, _iat, _inear."""
     b = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).where(F.size("_h") > 0)
-    own = b.select("item_id", F.least(F.size("_h"), F.lit(WINDOW)).alias("_own"), F.explode(fingerprints(short)).alias("_f")).where("_f._len = _own")
+    rows, prints = fingerprints(b.withColumn("_own", F.least(F.size("_h"), F.lit(WINDOW))), short)
+    own = rows.select("item_id", "_own", F.explode(prints).alias("_f")).where("_f._len = _own")
     return own.select("item_id", "_f._gram", "_f._len", F.col("_f._at").alias("_iat"), F.col("_f._near").alias("_inear")).distinct()
 
 
@@ -77,10 +79,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = F.broadcast if (stats["words"] or 0) <= BROADCAST_WORDS else (lambda x: x)
     # Rows are numbered and exploded in one pass, so a row's number is the same wherever it is used. A row's own entry has a gram that no item has: it keeps the row, and doesn't meet other rows' in a shuffle.
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), word_hashes(F.col("text")).alias("_h"))
+    base = base.withColumn("n_words", F.size("_h"))  # here, as the exploded rows must not carry the hashes
     none = F.array(F.struct(F.lit(0).alias("_at"), F.xxhash64("_row").alias("_gram"), F.lit(0).alias("_len"), F.lit(None).cast("array<bigint>").alias("_near")))
-    prints = base.select("doc_id", "_row", F.size("_h").alias("n_words"), F.explode(F.concat(none, fingerprints(short))).alias("_f")).select("doc_id", "_row", "n_words", "_f.*")
+    rows, own = fingerprints(base, short)
+    prints = rows.select("doc_id", "_row", "n_words", F.explode(F.concat(none, own)).alias("_f")).select("doc_id", "_row", "n_words", "_f.*")
     items = near(item_grams(benchmark, short).withColumn("_item", F.lit(True)))
-    joined = prints.join(items, ["_gram", "_len"], "left").where("_item or _len = 0")
+    joined = prints.join(items, ["_gram", "_len"], "left").where("_item is not null or _len = 0")  # false, not null, for what meets no item: the next filter is costly
     starts = F.when(F.col("_len") == WINDOW, _starts()).when(F.col("_len") > 0, F.array("_at")).otherwise(F.array().cast("array<int>"))
     found = joined.select("doc_id", "_row", "n_words", "item_id", "_len", starts.alias("_s")).where("size(_s) > 0 or _len = 0")
     spans = F.transform(F.col("_s"), lambda s: F.sequence(s, s + F.col("_len") - 1))
