@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import session
 
 DICTIONARY, SAMPLE, LEVEL = 1 << 17, 300, 3
+#: A label's hashes are ranked in so many groups first, so a frequent label's don't all meet in one task.
+GROUPS = 16
 #: ASCII other than small letters becomes a space.
 PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
@@ -36,7 +38,9 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", size: in
     """A dictionary for each non-null label; of at most `sample` texts of a label a piece of size / 4 characters at most comes to the driver. A long text's piece begins where its hash says."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # Ranks are given to hashes alone, so no text moves but the chosen ones'.
-    chosen = rows.select("label", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("h"))).where(F.col("n") <= sample)
+    hashes = rows.select("label", "h", F.pmod("h", F.lit(GROUPS)).alias("g")).distinct()
+    lowest = hashes.withColumn("n", F.row_number().over(W.partitionBy("label", "g").orderBy("h"))).where(F.col("n") <= sample)
+    chosen = lowest.select("label", "h", F.row_number().over(W.partitionBy("label").orderBy("h")).alias("n")).where(F.col("n") <= sample)
     piece = F.expr(f"substring(text, 1 + cast(pmod(h, greatest(length(text) - {size // 4}, 0) + 1) as int), {size // 4})")
     picked = rows.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "n").agg(F.min(piece).alias("piece"))  # `sample` rows a label
     held: dict[str, list[bytes]] = defaultdict(list)
