@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import n_tokens
-from granary.operators.vocab import log_odds, token_counts, token_rows, top_k
+from granary.operators.vocab import log_odds, token_rows, top_k
+from granary.sources.store import written
 
-CUE_Z, CUES_PER_CLASS, SHORT, RARE = 3.0, 150, 5, 2
+CUE_Z, CUES_PER_CLASS, SHORT = 3.0, 150, 5
+#: Tokens are rare up to two occurrences; `flags` finds their documents as the first and the last, so it isn't a parameter.
+RARE = 2
 
 
 def cue_lexicon(counts: DataFrame, label: str = "label", z: float = CUE_Z, per_class: int = CUES_PER_CLASS) -> DataFrame:
@@ -27,11 +30,16 @@ def tukey(df: DataFrame, value: Column) -> DataFrame:
 def flags(df: DataFrame, template: str, doc: str = "doc_id", label: str = "label", text: str = "text") -> DataFrame:
     """Per document: words, cue words, share of rare words, and the five flags: short, long, off template, heavy in rare words, free of cues."""
     words = n_tokens(F.col(text))
-    lexicon = cue_lexicon(token_counts(df, label, text), label).withColumn("cue", F.lit(1))
-    per_doc = token_rows(df, doc, text=text).groupBy(doc, "token").agg(F.count("*").alias("n"))
-    f = per_doc.groupBy("token").agg(F.sum("n").alias("f"))
-    marked = per_doc.join(f, "token").join(F.broadcast(lexicon), "token", "left")  # 150 tokens a class at most
-    sums = marked.groupBy(doc).agg(F.sum(F.when(F.col("cue") == 1, F.col("n")).otherwise(0)).alias("n_cues"), (F.sum(F.when(F.col("f") <= RARE, F.col("n")).otherwise(0)) / F.sum("n")).alias("rare_share"))
+    ends = [F.sum("n").alias("n"), F.sum("known").alias("known"), F.min("first").alias("first"), F.max("last").alias("last")]
+    one = token_rows(df, doc, label, text=text).select(label, "token", F.lit(1).alias("n"), F.col(doc).isNotNull().cast("int").alias("known"), F.col(doc).alias("first"), F.col(doc).alias("last"))
+    counts = written(one.groupBy(label, "token").agg(*ends), "counts")
+    lexicon = cue_lexicon(counts.select(label, "token", "n"), label).withColumn("cue", F.lit(1))
+    # A token of two occurrences lies in its first and its last document, so no document meets its tokens' frequencies in a join.
+    rare = counts.groupBy("token").agg(*ends).where(F.col("n") <= RARE).select(F.explode(F.slice(F.array("first", "last"), 1, F.col("known").cast("int"))).alias(doc))
+    rare = rare.groupBy(doc).agg(F.count("*").alias("n_rare"))
+    cues = token_rows(df, doc, text=text).join(F.broadcast(lexicon), "token", "left")  # 150 tokens a class at most
+    cues = cues.groupBy(doc).agg(F.count("*").alias("n"), F.count("cue").alias("n_cues"))
+    sums = cues.join(rare, doc, "left").select(doc, "n_cues", (F.coalesce("n_rare", F.lit(0)) / F.col("n")).alias("rare_share"))
     x = df.select(doc, label, words.alias("n_words"), (~F.col(text).rlike(template)).alias("is_off_template")).join(sums, doc, "left").na.fill(0, ["n_cues"]).na.fill(0.0, ["rare_share"])
     cuts = x.agg(F.percentile("n_words", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.percentile("rare_share", 0.99).alias("rare_cut"))
     y = x.crossJoin(F.broadcast(cuts))  # one row
