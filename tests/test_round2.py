@@ -1,12 +1,14 @@
 """Operators that have no SQL, and forms that must not depend on how the input lies."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from granary.functions.text import decoded
-from granary.operators import evaluate, graph, quality, vocab
+from granary.operators import evaluate, graph, outliers, quality, sequences, vocab
 from granary.plans.load import QUERIES
 
 
@@ -77,3 +79,22 @@ def test_components_with_hubs(spark, monkeypatch):
     got = {x["node"]: x["root"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if find(x) != x}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_folds_deal_each_class_in_hash_order(spark):
+    rows = [(i if i % 97 else None, None if i % 5 == 0 else f"c{i % 3}", i) for i in range(600)]
+    got = {r["n"]: r["fold"] for r in sequences.folds(spark.createDataFrame(rows, "k long, label string, n long").repartition(7), "k", "label").collect()}
+    assert len(got) == 600
+    for label in {x[1] for x in rows}:
+        of = [x for x in rows if x[1] == label and x[0] is not None]
+        if not any(x[0] is None and x[1] == label for x in rows):
+            order = sorted(of, key=lambda x: (hashlib.md5(f"7|{x[0]}".encode()).hexdigest(), x[0]))
+            assert [got[x[2]] for x in order] == [i % 5 for i in range(len(order))]
+        sizes = Counter(got[x[2]] for x in rows if x[1] == label)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_rare_share_counts_tokens_in_one_and_in_two_documents(spark):
+    rows = [(1, "a", "x x y z z z"), (2, "a", "y w z"), (3, "b", "z z q"), (4, "b", None), (5, None, " "), (None, "a", "q v")]
+    got = {r["doc_id"]: r["rare_share"] for r in outliers.flags(spark.createDataFrame(rows, "doc_id long, label string, text string"), "^x").collect()}
+    assert got == {1: 0.5, 2: round(2 / 3, 6), 3: round(1 / 3, 6), 4: 0.0, 5: 0.0, None: 0.0}
