@@ -10,7 +10,7 @@ the signs *, @ and $ within a word are part of it, so that one of them may stand
 A hit counts 1, a misspelled one FUZZY; between quotation marks within WINDOW bytes on the same line it counts QUOTED of that. The logarithm of 1 +
 the document's sum goes through a logistic function fitted on the labelled rows.
 
-At most SAMPLE labelled rows are learned from, those whose ids hash lowest (the documented bound; rows that repeat an id count each). Only doc_id and text are read, so other columns may have any name. A row without text or words scores as one without
+At most SAMPLE labelled rows are learned from, those whose ids hash lowest (the documented bound; texts that repeat an id count each, equal rows only add weight). Only doc_id and text are read, so other columns may have any name. A row without text or words scores as one without
 hits. Labels may repeat: the largest counts. Without both classes among the labels every score is the share of toxic rows. Repeated rows get
 equal results; empty tables give an empty result.
 """
@@ -235,7 +235,11 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     A word or stem must be in SHARE of the toxic documents, in more than chance allows, in next to no clean ones, and there
     between ever other neighbours: what is common only because a document has many near copies keeps its neighbours. Equal
     texts count once a label."""
-    sample = sample.distinct()
+    return lexicon_of(sample.distinct())
+
+
+def lexicon_of(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """As learn_lexicon, of texts that differ within a label."""
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -247,11 +251,11 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     least = max(2, math.ceil(math.log(CHANCE) / math.log(n1 / (n1 + n0))), math.ceil(SHARE * n1))
     count = [F.count(F.when(F.col("toxic") == 1, 1)).alias("a"), F.count(F.when(F.col("toxic") == 0, 1)).alias("b")]
     few = seen.groupBy("f").agg(*count).where((F.col("a") >= least) & (F.col("a") * n0 >= 50 * F.col("b") * n1))
+    # All forms that pass are written: a cut by frequency would let one copied document take all places.
+    few = written(few.select("f", "a"), "forms")
     near = split.where("toxic = 1").select(F.explode(F.expr("transform(sequence(0, size(ws) - 1), i -> named_struct('w', ws[i], 'c', xxhash64(get(ws, i - 1), get(ws, i + 1))))")).alias("x"))
     near = near.select(F.col("x.w").alias("w"), F.col("x.c").alias("c")).where("length(w) >= 3").select(F.explode(F.expr(forms)).alias("f"), "c")
-    # Neighbours are counted for all forms before the join: a cut of the forms by frequency would let one copied document take all places.
-    spread = near.groupBy("f").agg(F.count_distinct("c").alias("c")).where(F.col("c") >= least)
-    apart = spread.join(few, "f").where(F.col("c") >= F.col("a") * NEIGHBOURS).select("f", "a").collect()
+    apart = near.join(few, "f").groupBy("f", "a").agg(F.count_distinct("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(least), F.col("a") * NEIGHBOURS)).select("f", "a").collect()
     found = {r["f"]: r["a"] for r in apart}
     terms = {f[1:]: a for f, a in found.items() if f[0] == "w"}
     stems = {f[1:]: a for f, a in found.items() if f[0] == "s" and max((x for w, x in terms.items() if w.startswith(f[1:])), default=0) < 0.8 * a}
@@ -266,8 +270,9 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     return sorted(terms), chosen
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a ridge on the slope."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve, by Newton's method with a ridge on the slope; n: how often each row counts."""
+    n = np.ones_like(x) if n is None else n
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         p = min(max(p, 1e-3), 1 - 1e-3)
@@ -276,8 +281,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]
     z = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        grad = z.T @ (p - y) + np.array([ridge * a, 1e-6 * b])
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-6])
+        grad = z.T @ (n * (p - y)) + np.array([ridge * a, 1e-6 * b])
+        hess = (z * (n * p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-6])
         step = np.linalg.solve(hess, grad)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
@@ -304,9 +309,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     few = F.broadcast(ids.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))  # `sample` rows at most
-    rows = docs.select("doc_id", "text").join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample)
-    rows = written(rows.select("text", "toxic"), "sample")
-    terms, stems = learn_lexicon(rows)
+    picked = written(docs.select("doc_id", "text").join(few, "doc_id").withColumn("h", F.xxhash64("text")), "labelled")
+    # Repeated ids may have more texts than `sample`: the cut is by hashes, so that no task orders texts.
+    keys = picked.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    rows = picked.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("text", "toxic").agg(F.count("*").alias("n"))
+    rows = written(rows, "sample")
+    terms, stems = lexicon_of(rows.select("text", "toxic"))
     rough = Automaton(terms, stems)
 
     def scan(automaton):
@@ -314,18 +322,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             scanner = Scanner(automaton)
             for batch in batches:
                 sums, variants = scanner(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(sums[:, 4], pa.float64()), pa.array(sums[:, :3].sum(1), pa.float64()), pa.array([sorted(v) for v in variants], pa.list_(pa.string())), batch.column(1)], ["x", "hits", "variants", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(sums[:, 4], pa.float64()), pa.array([sorted(v) for v in variants], pa.list_(pa.string())), batch.column(1), batch.column(2)], ["x", "variants", "y", "n"])
 
-        return rows.mapInArrow(run, "x double, hits double, variants array<string>, y int")
+        return rows.mapInArrow(run, "x double, variants array<string>, y int, n long")
 
-    seen = scan(rough).select(F.explode("variants").alias("w"), "y").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("b > 0").select("w").collect()
+    seen = scan(rough).where("y = 0").select(F.explode("variants").alias("w")).distinct().collect()
     benign = sorted(r["w"] for r in seen)
     rigid = {x for kind in (terms, stems) for x in kind if len(x) >= MIN_FUZZY and misspelled_by(x, kind is stems, benign) > COMMON_SHAPE}
     automaton = Automaton(terms, stems, set(benign), rigid)
     # The curve needs counts of rows by sum and label only.
-    counts = scan(automaton).groupBy("x", "y").agg(F.count("*").alias("n")).collect()
+    counts = scan(automaton).groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
     x, y, n = (np.array([r[c] for r in counts], float) for c in ("x", "y", "n"))
-    slope, intercept = fit(np.repeat(np.log1p(x), n.astype(int)), np.repeat(y, n.astype(int)))
+    slope, intercept = fit(np.log1p(x), y, n=n)
     return Model(automaton, slope, intercept)
 
 
