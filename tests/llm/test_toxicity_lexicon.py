@@ -37,3 +37,10 @@ def test_terms_with_a_stem_take_edits(spark):
     words = [b"zoundrel", b"zoundrabc", b"zaundrel", b"zundrel", b"other"]
     at = np.cumsum([0, *map(len, words)])
     assert [x.tolist() for x in automaton.match(np.frombuffer(b"".join(words), np.uint8), at[:-1], at[1:])] == [[0, 1, 2, 3], [1, 2, 3, 3]]
+
+
+def test_weights_stand_for_repeated_rows():
+    r = np.random.default_rng(0)
+    x, n = r.random(50), r.integers(1, 6, 50)
+    y = (x + r.normal(0, 0.3, 50) > 0.5).astype(float)
+    assert np.allclose(toxicity.fit(x, y, n=n.astype(float)), toxicity.fit(np.repeat(x, n), np.repeat(y, n)))
