@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.store import new_path, written
+from granary.sources.store import drop_written, new_path, released, written
 
-__all__ = ["WHITE", "WordHasher", "free_name", "hashable", "marked", "maybe_in", "mix", "new_path", "parts", "session", "text_chunks", "unit_hash", "written"]
+__all__ = ["WHITE", "WordHasher", "drop_written", "free_name", "hashable", "marked", "maybe_in", "mix", "new_path", "parts", "released", "session", "text_chunks", "unit_hash", "written"]
 
 #: Rows in an Arrow batch where the session leaves Spark's default, so a batch of long texts stays small.
 BATCH_ROWS = 1000
@@ -82,14 +82,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of UTF-8 texts; words are runs of bytes that aren't separators. A-Z is lowered."""
+    """64-bit hashes of the words of UTF-8 texts; words are runs of bytes that aren't separators. A-Z is lowered, unless `lower` is false."""
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, lower: bool = True):
         self.is_sep = np.zeros(256, bool)
         self.is_sep[list(separators)] = True
-        lower = np.arange(256, dtype=np.uint64)
-        lower[65:91] += np.uint64(32)
-        self.value = mix(lower + np.uint64(1))
+        small = np.arange(256, dtype=np.uint64)
+        if lower:
+            small[65:91] += np.uint64(32)
+        self.value = mix(small + np.uint64(1))
         self._powers(CHUNK)
 
     def _powers(self, n: int) -> None:

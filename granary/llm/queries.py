@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, sharding, token_counts, topk, toxicity, warc
+from granary.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, phrases, sharding, substrings, token_counts, topk, toxicity, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
@@ -120,6 +132,29 @@ g AS (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS p FROM o WHERE n > 1),
 k AS (SELECT l.r, string_agg(x, chr(10) ORDER BY k) FILTER (WHERE trim(x) = '' OR g.p IS NULL) AS t, count(DISTINCT g.p) FILTER (WHERE trim(x) <> '') AS gone, count(*) FILTER (WHERE trim(x) <> '') AS n FROM l LEFT JOIN g ON l.r = g.r AND l.p = g.p GROUP BY l.r)
 SELECT doc_id, CASE WHEN gone > 0 THEN coalesce(trim(t, chr(10)), '') ELSE text END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(gone, 0) AS INTEGER) AS n_removed FROM d LEFT JOIN k USING (r)"""
 
+_SQL["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(x, '[\x20\x09]+'), lambda v: v <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS n FROM g GROUP BY lang, k, g),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, n AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+u AS (SELECT lang, k, g, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.k, u.g, u.a, cut, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * u.a * u.a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.g = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.g = array_to_string(w[cut + 1:u.k], ' ')),
+b AS (SELECT lang, g, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (SELECT lang, x, max(a) AS m FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS x FROM c WHERE k = 3) GROUP BY lang, x),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, t.n, score FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.x = b.g WHERE i.m IS NULL OR 100 * i.m < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+_SQL["op12_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+l AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, p) AS n FROM s) WHERE n > 1),
+c AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS q FROM l),
+k AS (SELECT x.r, count(c.q) AS gone, string_agg(x, ' ' ORDER BY x.q) FILTER (WHERE c.q IS NULL) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) x LEFT JOIN c ON x.r = c.r AND x.q = c.q GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
 
 def oracle_sql() -> dict:
     return dict(_SQL)
