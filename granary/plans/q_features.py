@@ -218,13 +218,13 @@ def _(spark, d):
 
 @query("kmeans_sweep")
 def _(spark, d):
-    return cluster.kmeans_sweep(table(spark, d, "embeddings"), [2, 5, 10, 20], "embedding", seeds=range(3))
+    return cluster.kmeans_sweep(table(spark, d, "embeddings"), [2, 3, 4, 5, 6, 8, 10, 12, 15, 20], "embedding")
 
 
 @query("kmeans_search_seg")
 def _(spark, d):
     x = features.impute_scale(customers(spark, d), NINE).select("id", F.array(*NINE).alias("v"))
-    sweep = cluster.kmeans_sweep(x, range(2, 9), "v")
+    sweep = cluster.kmeans_sweep(x, list(range(2, 9)), "v", metric="squared")
     best = sweep.orderBy(F.desc("silhouette"), "k").first()["k"]
     return cluster.kmeans(x, best, "v").groupBy("cluster").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import evaluate, features, models, sequences
+from granary.operators import boosting, evaluate, features, linear, models, sequences
 from granary.plans.catalog import CORPUS, corpus, query, table
 from granary.plans.q_features import FEATS, good_trips
 from granary.sources.store import new_path
@@ -24,19 +24,30 @@ def _(spark, d):
 
 @query("linear_svm")
 def _(spark, d):
-    return models.fit_predict(*train_test(spark, d), models.linear_svm())
+    return linear.fit_predict(*train_test(spark, d), loss="hinge", c=0.5, min_df=2)
 
 
 @query("boosting")
 def _(spark, d):
-    return models.fit_predict(*train_test(spark, d), models.trees(), width=models.TREE_WIDTH)
+    return boosting.fit_predict(*train_test(spark, d))
+
+
+def development(spark, d):
+    return sequences.folds(corpus(spark, d).where("split <> 'test'"), "doc_id", "label", k=5)
 
 
 @query("grid_cv")
 def _(spark, d):
-    df = sequences.folds(corpus(spark, d), "doc_id", "label", k=2)
-    n = df.count() // 2
-    return models.grid_cv(df, {f"C={c}": models.logistic(c, n, iterations=10) for c in (0.1, 1.0)}, "fold")
+    return linear.grid_search(development(spark, d), "linear_svm", "hinge", new_path(spark, "grid"), [0.1, 0.5, 1.0], ngrams=(1,), min_dfs=(2,))[0]
+
+
+@query("grid_refit")
+def _(spark, d):
+    """The best of the grid, fitted on all of its rows, on the test rows."""
+    df = sequences.folds(corpus(spark, d), "doc_id", "label", k=5).withColumn("fold", F.when(F.col("split") == "test", -1).otherwise(F.col("fold")))
+    known = df.where("fold >= 0")
+    results, _ = linear.grid_search(known, "logreg", "softmax", new_path(spark, "grid"), [1.0, 5.0, 10.0], ngrams=(1,), min_dfs=(2,))
+    return linear.refit_predict(known, df.where("fold < 0"), results, "softmax")
 
 
 @query("stratified_baseline", f"WITH {CORPUS}, c AS (SELECT label, count(*) AS n FROM corpus WHERE split = 'train' GROUP BY label), s AS (SELECT label, sum(n) OVER (ORDER BY label) / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY label) - n) / sum(n) OVER () AS lo FROM c), u AS (SELECT doc_id, CAST(('0x' || substr(md5('7|' || doc_id), 1, 12)) AS BIGINT) / {float(1 << 48)}::DOUBLE AS u FROM corpus WHERE split = 'test') SELECT doc_id, label AS pred FROM u JOIN s ON u >= lo AND u < hi")
