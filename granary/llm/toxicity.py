@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +177,26 @@ class Automaton:
         return n[order], np.concatenate(kinds)[order]
 
 
+class Marks:
+    """A text's quotation marks and line ends, found once."""
+
+    def __init__(self, text: bytes):
+        spans = [m.span() for m in QUOTES.finditer(text)]
+        self.begin, self.end, self.size = [a for a, _ in spans], [b for _, b in spans], len(text)
+        self.lines = np.flatnonzero(np.frombuffer(text, np.uint8) == 10).tolist()
+
+    def around(self, s: int, e: int) -> bool:
+        """Whether the word from s to e lies between quotation marks on its line: an odd number of marks before it, the last within WINDOW bytes, and another within WINDOW bytes after."""
+        line = bisect_left(self.lines, s)
+        begin = self.lines[line - 1] + 1 if line else 0
+        line = bisect_left(self.lines, e)
+        end = self.lines[line] if line < len(self.lines) else self.size
+        first, upto, after = bisect_left(self.begin, begin), bisect_right(self.end, s), bisect_left(self.begin, e)
+        return (upto - first) % 2 == 1 and s - self.end[upto - 1] <= WINDOW and after < len(self.end) and self.end[after] <= min(e + WINDOW, end)
+
+
 def quoted(text: bytes, s: int, e: int) -> bool:
-    """Whether the word lies between quotation marks on its line: an odd number of marks before it, the last within WINDOW bytes, and another within WINDOW bytes after."""
-    begin = text.rfind(b"\n", 0, s) + 1
-    end = text.find(b"\n", e)
-    before = list(QUOTES.finditer(text, begin, s))
-    after = QUOTES.search(text, e, min(e + WINDOW, end if end >= 0 else len(text)))
-    return bool(len(before) % 2 and after and s - before[-1].end() <= WINDOW)
+    return Marks(text).around(s, e)
 
 
 class Scanner:
@@ -211,16 +225,18 @@ class Scanner:
             hits, kinds = self.automaton.match(data, s, e)
             doc = np.searchsorted(first, hits, "right") - 1
             texts: dict[int, bytes] = {}
+            marks: dict[int, Marks] = {}
             for h, kind, d in zip(hits.tolist(), kinds.tolist(), doc.tolist(), strict=True):
                 if d not in texts:
                     texts = {d: data[bounds[d] : bounds[d + 1]].tobytes()}
+                    marks = {d: Marks(texts[d])}
                 a, b = int(s[h] - bounds[d]), int(e[h] - bounds[d])
                 if kind == 3:
                     word = texts[d][a:b].decode("utf-8", "replace").lower()
                     variants[i + d].add(word)
                     if word in self.automaton.benign:
                         continue
-                q = quoted(texts[d], a, b)
+                q = marks[d].around(a, b)
                 out[i + d, kind - 1] += 1
                 out[i + d, 3] += q
                 out[i + d, 4] += (FUZZY if kind == 3 else 1.0) * (QUOTED if q else 1.0)
