@@ -13,6 +13,7 @@ section. Repeated rows get rows of their own. An empty table gives an empty resu
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from granary.llm.common import session
 
 #: Fixed value: how the vocabularies part a text before pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Unicode's white space, and how long a run of it is encoded apart: the pattern's look-ahead steps back through a run one place at a time.
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG = 1000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "most", "split")
 
@@ -33,18 +37,30 @@ def load(path: str = VOCABULARY) -> bytes:
 
 
 class Encoder:
-    def __init__(self, vocabulary: bytes, pattern: str = PATTERN):
+    def __init__(self, vocabulary: bytes, pattern: str = PATTERN, long: int = LONG):
         import tiktoken
 
+        self.runs = re.compile(f"[{BLANK}]{{{max(long, 2)},}}") if pattern == PATTERN else None
+
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.length[rank] = len(token)
 
+    def encode(self, text: str) -> list[int]:
+        """The text's tokens. Of a long run of white space the pattern takes all but the last character as one piece, or all of it at the end of the text: there the text can be cut."""
+        ids, at = [], 0
+        for run in self.runs.finditer(text) if self.runs else ():
+            stop = run.end() - (run.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : stop].encode())
+            at = stop
+        return ids + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def ends(self, text: str) -> np.ndarray:
         """Where each token of the text ends, in bytes."""
-        ids = self.encoding.encode_ordinary(text)
+        ids = self.encode(text)
         return np.cumsum(self.length[ids]) if ids else np.zeros(0, np.int64)
 
 
