@@ -62,7 +62,9 @@ def item_grams(benchmark: DataFrame, short: list[int]) -> DataFrame:
     b = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h")).where(F.size("_h") > 0)
     rows, prints = fingerprints(b.withColumn("_own", F.least(F.size("_h"), F.lit(WINDOW))), short)
     own = rows.select("item_id", "_own", F.explode(prints).alias("_f")).where("_f._len = _own")
-    return own.select("item_id", "_f._gram", "_f._len", F.col("_f._at").alias("_iat"), F.col("_f._near").alias("_inear")).distinct()
+    # Beyond the first grams the place doesn't matter, so a repeated context of an item is one row.
+    place = F.least(F.col("_f._at"), F.lit(W_GRAMS - 1)).alias("_iat")
+    return own.select("item_id", "_f._gram", "_f._len", place, F.col("_f._near").alias("_inear")).distinct()
 
 
 def _starts() -> F.Column:
