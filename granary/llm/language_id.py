@@ -26,7 +26,8 @@ DICTIONARY, SAMPLE, LEVEL = 1 << 17, 300, 3
 GROUPS = 16
 #: ASCII other than small letters becomes a space.
 PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+#: What may be letters; numerals such as one half are among it.
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> bytes:
@@ -34,6 +35,10 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in WORD.finditer(text) for c in m.group())
+
+
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang", size: int = DICTIONARY, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary for each non-null label; of at most `sample` texts of a label a piece of size / 4 characters at most comes to the driver. A long text's piece begins where its hash says."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
@@ -63,7 +68,7 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score from 0 to 1, and margin in bits a byte."""
-        if text is None or not self.by or not LETTER.search(text):
+        if text is None or not self.by or not has_letter(text):
             return "und", 0.0, 0.0
         data = plain(text)
         sizes = [len(c.compress(data)) for c in self.by]
