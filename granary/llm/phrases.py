@@ -29,7 +29,7 @@ from granary.llm.common import WordHasher, drop_written, mix, parts, released, s
 DEPTH, LEAST, SHARE, TOP = 3, 10, 50, 2000
 PIECES, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 #: Words that a task holds before it serialises its tries.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 FEWEST_BITS, BITS, BITS_A_KEY = 1 << 20, 1 << 26, 16
 MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 
