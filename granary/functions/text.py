@@ -26,9 +26,9 @@ def squash(text: Column) -> Column:
 
 
 def char_class(c: Column) -> Column:
-    """lower, upper, digit, space, punct (ASCII) or other, of a single character."""
+    """lower, upper, digit (by Unicode's categories), space, punct (ASCII) or other, of a single character."""
     return (
-        F.when(c.rlike("^[a-z]$"), "lower").when(c.rlike("^[A-Z]$"), "upper").when(c.rlike("^[0-9]$"), "digit")
+        F.when(c.rlike(r"^\p{Ll}$"), "lower").when(c.rlike(r"^\p{Lu}$"), "upper").when(c.rlike(r"^\p{Nd}$"), "digit")
         .when(c.rlike(r"^[\x20\x09-\x0D]$"), "space").when(c.rlike(r"^[\x21-\x7E]$"), "punct").otherwise("other")
     )
 

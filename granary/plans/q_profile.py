@@ -37,13 +37,13 @@ def _(spark, d):
 
 
 @query("char_profile", """WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
-SELECT ch, n, CASE WHEN regexp_matches(ch, '^[a-z]$') THEN 'lower' WHEN regexp_matches(ch, '^[A-Z]$') THEN 'upper' WHEN regexp_matches(ch, '^[0-9]$') THEN 'digit' WHEN regexp_matches(ch, '^[\\x20\\x09-\\x0D]$') THEN 'space' WHEN regexp_matches(ch, '^[\\x21-\\x7E]$') THEN 'punct' ELSE 'other' END AS cls FROM n ORDER BY n DESC, ch LIMIT 20""".replace("\\\\", "\\"))
+SELECT ch, n, CASE WHEN regexp_matches(ch, '^\\p{Ll}$') THEN 'lower' WHEN regexp_matches(ch, '^\\p{Lu}$') THEN 'upper' WHEN regexp_matches(ch, '^\\p{Nd}$') THEN 'digit' WHEN regexp_matches(ch, '^[\\x20\\x09-\\x0D]$') THEN 'space' WHEN regexp_matches(ch, '^[\\x21-\\x7E]$') THEN 'punct' ELSE 'other' END AS cls FROM n ORDER BY n DESC, ch LIMIT 20""".replace("\\\\", "\\"))
 def _(spark, d):
     return profile.chars(table(spark, d, "documents")).orderBy(F.desc("n"), "ch").limit(20)
 
 
 @query("char_classes", """WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch),
-k AS (SELECT n, CASE WHEN regexp_matches(ch, '^[a-z]$') THEN 'lower' WHEN regexp_matches(ch, '^[A-Z]$') THEN 'upper' WHEN regexp_matches(ch, '^[0-9]$') THEN 'digit' WHEN regexp_matches(ch, '^[\\x20\\x09-\\x0D]$') THEN 'space' WHEN regexp_matches(ch, '^[\\x21-\\x7E]$') THEN 'punct' ELSE 'other' END AS cls FROM n)
+k AS (SELECT n, CASE WHEN regexp_matches(ch, '^\\p{Ll}$') THEN 'lower' WHEN regexp_matches(ch, '^\\p{Lu}$') THEN 'upper' WHEN regexp_matches(ch, '^\\p{Nd}$') THEN 'digit' WHEN regexp_matches(ch, '^[\\x20\\x09-\\x0D]$') THEN 'space' WHEN regexp_matches(ch, '^[\\x21-\\x7E]$') THEN 'punct' ELSE 'other' END AS cls FROM n)
 SELECT cls, CAST(sum(n) AS BIGINT) AS n, count(*) AS distinct_chars FROM k GROUP BY cls""".replace("\\\\", "\\"))
 def _(spark, d):
     return profile.char_classes(table(spark, d, "documents"))
