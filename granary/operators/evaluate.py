@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.operators.quantiles import quantiles
+from granary.sources.store import written
+
 #: USD an hour by device; share of the accuracy that a costlier model must add; budget of the 95th percentile in ms; measured runs and warm-ups at least.
 HOURLY_RATE = {"cpu": 0.192, "gpu": 0.60}
 BAR, BUDGET_MS, LEAST_RUNS, LEAST_WARMUPS = 0.03, 50.0, 200, 20
@@ -124,13 +127,17 @@ def bootstrap(wide: DataFrame, a: str, b: str, resamples: int, seed: int = 7, la
 
 
 def bootstrap_summary(deltas: DataFrame) -> DataFrame:
-    p = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
+    p = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))  # one value a resample
     return deltas.agg(F.count("*").alias("resamples"), F.round(F.avg("delta"), 6).alias("mean"), F.round(p[0], 6).alias("lo"), F.round(p[1], 6).alias("hi"), F.round(F.avg((F.col("delta") > 0).cast("int")), 6).alias("p_better"), F.round(F.avg((F.col("delta") >= BAR).cast("int")), 6).alias("p_over_bar"))
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.count(value).alias("runs"), *[F.round(x, 6).alias(n) for n, x in (("p50", p[0]), ("p95", p[1]), ("p99", p[2]), ("mean", F.avg(value)), ("min", F.min(value)), ("max", F.max(value)), ("sd", F.coalesce(F.stddev_samp(value), F.lit(0.0))))])
+    """Runs, percentiles, mean, least, largest and deviation of a group's times. The times are written first, as both passes must see the same."""
+    x = written(df.select(*by, value), "times")
+    p = quantiles(x, {"_p": F.col(value)}, [0.5, 0.95, 0.99], by).select(*[F.col(c).alias(f"_{c}") for c in by], "_p")
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
+    g = x.groupBy(*by).agg(F.count(value).alias("runs"), *[F.round(e, 6).alias(n) for n, e in (("mean", F.avg(value)), ("min", F.min(value)), ("max", F.max(value)), ("sd", F.coalesce(F.stddev_samp(value), F.lit(0.0))))])
+    return g.join(p, same).select(*by, "runs", *[F.round(F.col("_p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "mean", "min", "max", "sd")
 
 
 def significant(x: Column, digits: int = 4) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
+from granary.operators.quantiles import quantiles
 
 EARTH_KM = 6371.0088
 #: Bounds of a trip that is kept: longitude, latitude, passengers, seconds.
@@ -108,7 +109,7 @@ def customer_features(df: DataFrame, as_of: str) -> DataFrame:
 
 def impute_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls become the column's exact median; then each column has mean 0 and population deviation 1 (a constant one stays 0)."""
-    med = df.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in cols])
+    med = quantiles(df, {f"_m_{c}": F.col(c) for c in cols}, [0.5]).select(*[F.col(f"_m_{c}")[0].alias(f"_m_{c}") for c in cols])
     x = df.crossJoin(F.broadcast(med)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
     stat = x.agg(*[e for c in cols for e in (F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     return x.crossJoin(F.broadcast(stat)).select(*[c for c in df.columns if c not in cols], *[((F.col(c) - F.col(f"_a_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)).alias(c) for c in cols])

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.operators.quantiles import quantiles
+from granary.sources.store import written
+
 CLAMP = 1e-6
 
 
@@ -112,7 +115,10 @@ def pairs_vs_singletons(class_rule_table: DataFrame) -> DataFrame:
 
 
 def gain_summary(compared: DataFrame) -> DataFrame:
-    return compared.agg(F.count("*").alias("n_pairs"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.percentile("gain", 0.5), 6).alias("median_gain"), F.round(F.avg((F.col("gain") > 0).cast("int")), 6).alias("better"), F.round(F.avg((F.col("gain") > 0.1).cast("int")), 6).alias("over_10_points"), F.round(F.avg(F.col("changed").cast("int")), 6).alias("changing"))
+    compared = written(compared.select("gain", "changed"), "compared")
+    mid = quantiles(compared, {"m": F.col("gain")}, [0.5]).select(F.round(F.col("m")[0], 6).alias("median_gain"))
+    one = compared.agg(F.count("*").alias("n_pairs"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.avg((F.col("gain") > 0).cast("int")), 6).alias("better"), F.round(F.avg((F.col("gain") > 0.1).cast("int")), 6).alias("over_10_points"), F.round(F.avg(F.col("changed").cast("int")), 6).alias("changing"))
+    return one.crossJoin(F.broadcast(mid)).select("n_pairs", "mean_gain", "median_gain", "better", "over_10_points", "changing")  # one row each
 
 
 def rule_graph(itemsets: DataFrame, ranked: DataFrame, nodes: int = 16, links: int = 24) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import n_tokens
+from granary.operators.quantiles import quantiles
 from granary.operators.vocab import log_odds, token_rows, top_k
 from granary.sources.store import written
 
@@ -22,7 +23,7 @@ def cue_lexicon(counts: DataFrame, label: str = "label", z: float = CUE_Z, per_c
 
 def tukey(df: DataFrame, value: Column) -> DataFrame:
     """One row: quartiles and the fences 1.5 interquartile ranges beyond them."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, {"q": value}, [0.25, 0.75])
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[0] - 1.5 * iqr).alias("lower_fence"), (F.col("q")[1] + 1.5 * iqr).alias("upper_fence"))
 
@@ -41,7 +42,8 @@ def flags(df: DataFrame, template: str, doc: str = "doc_id", label: str = "label
     cues = cues.groupBy(doc).agg(F.count("*").alias("n"), F.count("cue").alias("n_cues"))
     sums = cues.join(rare, doc, "left").select(doc, "n_cues", (F.coalesce("n_rare", F.lit(0)) / F.col("n")).alias("rare_share"))
     x = df.select(doc, label, words.alias("n_words"), (~F.col(text).rlike(template)).alias("is_off_template")).join(sums, doc, "left").na.fill(0, ["n_cues"]).na.fill(0.0, ["rare_share"])
-    cuts = x.agg(F.percentile("n_words", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.percentile("rare_share", 0.99).alias("rare_cut"))
+    x = written(x, "shares")
+    cuts = quantiles(x, {"q": F.col("n_words"), "rare_cut": F.col("rare_share")}, [0.25, 0.75, 0.99]).select("q", F.col("rare_cut")[2].alias("rare_cut"))
     y = x.crossJoin(F.broadcast(cuts))  # one row
     made = y.select(
         doc, label, "n_words", "n_cues", F.round("rare_share", 6).alias("rare_share"), (F.col("n_words") <= SHORT).alias("is_short"),

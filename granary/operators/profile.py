@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import char_class, n_tokens
+from granary.operators.quantiles import quantiles
+from granary.sources.store import written
 
 
 def structure(df: DataFrame) -> DataFrame:
@@ -56,18 +58,26 @@ def rows_with(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
 
 
 def size_summary(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    x = df.select(*by, F.length(text).alias("chars"), n_tokens(F.col(text)).alias("words"))
-    return x.groupBy(*by).agg(*[f(c).alias(f"{k}_{c}") for c in ("chars", "words") for k, f in (("min", F.min), ("median", lambda c: F.percentile(c, 0.5)), ("mean", lambda c: F.round(F.avg(c), 6)), ("max", F.max))])
+    x = written(df.select(*by, F.length(text).alias("chars"), n_tokens(F.col(text)).alias("words")), "sizes")
+    sizes = ("chars", "words")
+    mid = quantiles(x, {c: F.col(c) for c in sizes}, [0.5], by)
+    g = x.groupBy(*by).agg(*[f(c).alias(f"{k}_{c}") for c in sizes for k, f in (("min", F.min), ("mean", lambda c: F.round(F.avg(c), 6)), ("max", F.max))])
+    g = g.join(mid.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(c)[0].alias(f"median_{c}") for c in sizes]), reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True)))
+    return g.select(*by, *[f"{k}_{c}" for c in sizes for k in ("min", "median", "mean", "max")])
 
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def length_describe(df: DataFrame, by: str = "label", text: str = "text", value: Column | None = None) -> DataFrame:
-    """Over all (label `*`) and per class in one pass: n, min, max, mean, sample deviation, percentiles and Pearson's second skewness (0 without deviation)."""
-    x = df.select(by, (n_tokens(F.col(text)) if value is None else value).alias("v"))
-    p = F.percentile("v", F.array(*[F.lit(q) for q in PERCENTILES]))
-    g = x.groupingSets([[], [by]], by).agg(F.grouping(by).alias("all"), F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), p.alias("p"))
+    """Over all (label `*`) and per class: n, min, max, mean, sample deviation, percentiles and Pearson's second skewness (0 without deviation)."""
+    x = written(df.select(by, (n_tokens(F.col(text)) if value is None else value).alias("v")), "lengths")
+    g = x.groupingSets([[], [by]], by).agg(F.grouping(by).alias("all"), F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    sums = x.groupBy(by, "v").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast(x.schema[by].dataType)
+    both = sums.select(F.col(by).alias("_by"), F.lit(0).alias("_all"), "v", "n").unionByName(sums.select(none.alias("_by"), F.lit(1).alias("_all"), "v", "n"))
+    p = quantiles(both, {"p": F.col("v")}, PERCENTILES, ["_by", "_all"], F.col("n"))
+    g = g.join(p, F.col(by).eqNullSafe(F.col("_by")) & (F.col("all") == F.col("_all")), "left")
     sd = F.coalesce("s", F.lit(0.0))
     skew = F.when(sd > 0, 3 * (F.col("m") - F.col("p")[3]) / sd).otherwise(0.0)
     return g.select(F.when(F.col("all") == 1, "*").otherwise(F.col(by)).alias("cls"), "n", "min", "max", F.round("m", 6).alias("mean"), F.round(sd, 6).alias("sd"), *[F.round(F.col("p")[i], 6).alias(f"p{round(q * 100):02d}") for i, q in enumerate(PERCENTILES)], F.round(skew, 6).alias("skew"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import cluster, features
+from granary.operators.quantiles import quantiles
 from granary.plans.catalog import TOKENS, corpus, query, table
 
 BIGRAMS = TOKENS + r""", w AS (SELECT doc_id, split, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM corpus),
@@ -167,7 +168,7 @@ DISTANCES = ", ".join(f"sqrt(pow(age - {a}::DOUBLE, 2) + pow(income - {b}::DOUBL
 @query("segment_predict", f"WITH {IMPUTED}, ds AS (SELECT id, {DISTANCES} FROM im) SELECT id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster, round(1 / (exp(least(d0, d1, d2) - d0) + exp(least(d0, d1, d2) - d1) + exp(least(d0, d1, d2) - d2)), 6) AS confidence FROM ds")
 def _(spark, d):
     c = customers(spark, d)
-    med = c.agg(F.percentile("income", 0.5).alias("m"))
+    med = quantiles(c, {"m": F.col("income")}, [0.5]).select(F.col("m")[0].alias("m"))
     x = c.crossJoin(F.broadcast(med)).select("id", "age", F.coalesce("income", "m").alias("income"))
     return cluster.assign(x, CENTRES, ["age", "income"]).select("id", "cluster", "confidence")
 
