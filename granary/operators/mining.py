@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.operators.quantiles import quantiles
-from granary.sources.store import written
+from granary.sources.store import drop_written, numbered, released, written
 
 CLAMP = 1e-6
 
@@ -18,9 +20,8 @@ def items_of(df: DataFrame, tid: str, item: str) -> DataFrame:
 
 
 def supports_by_pairs(items: DataFrame) -> DataFrame:
-    """Support of each pair of items by intersecting their transactions: an equi-join on the transaction."""
-    a, b = items.select("tid", F.col("item").alias("a")), items.select("tid", F.col("item").alias("b"))
-    return a.join(b, "tid").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Support of each pair of items that occur together, by intersecting their transactions' bitmaps."""
+    return eclat(items, 1, 2).where("size = 2").select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "n")
 
 
 def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3, n: int | None = None) -> DataFrame:
@@ -30,14 +31,19 @@ def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3, n:
     pairs with one first item, if their other pair is frequent too. Counts are aggregated before the shuffle."""
     if not 1 <= max_len <= 3:
         raise ValueError("max_len must be 1, 2 or 3")
+    items = written(items.select("tid", "item"), "items")
+    items = written(items.select("tid", "item"), "items")
     total = items.select("tid").distinct().agg(F.count("*").alias("total"))
     least = F.ceil(F.lit(min_support) * F.col("total") - F.lit(1e-9))
     one = items.groupBy("item").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= least)
+    one = written(one, "level1")
     levels = [one.select(F.array("item").alias("items"), F.lit(1).alias("size"), "n", "total")]
     rows = items.join(one.select("item"), "item").groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("w"))  # a transaction's own items
     if max_len > 1:
+        rows = written(rows, "baskets")
         pairs = rows.where("size(w) > 1").select(F.explode(F.expr("flatten(transform(w, (x, i) -> transform(slice(w, i + 2, size(w)), y -> array(x, y))))")).alias("items"))
         two = pairs.groupBy("items").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= least)
+        two = written(two, "level2")
         levels.append(two.select("items", F.lit(2).alias("size"), "n", "total"))
     if max_len > 2:
         known = two.select("items")
@@ -143,3 +149,91 @@ def fpgrowth_itemsets(items: DataFrame, min_support: float) -> DataFrame:
 
     rows = items.groupBy("tid").agg(F.collect_set("item").alias("items"))
     return FPGrowth(minSupport=min_support, itemsCol="items").fit(rows).freqItemsets.select(F.array_sort("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("n"))
+
+
+# ---- bitmaps of transactions ----
+
+#: Bits of a bitmap row, as Spark's bitmap functions cut them; items that meet in one task, at most.
+BITS, ITEM_BLOCK = 32768, 1024
+
+
+def tid_bitmaps(items: DataFrame) -> DataFrame:
+    """items(tid, item), distinct: (item, chunk, bits), the transactions of each item as bitmaps of 32,768 numbered transactions."""
+    tids = numbered(items.select("tid").distinct(), ["tid"], "_t")
+    x = items.join(tids, "tid")
+    return x.groupBy("item", F.expr("bitmap_bucket_number(_t)").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_t))").alias("bits"))
+
+
+def _counted(level: DataFrame, n_items: int, block: int) -> DataFrame:
+    """level(prefix, last, chunk, bits): (prefix, a, b, n), the common bits of each two itemsets with one prefix. Blocks of items meet in pairs, a chunk at a time; counts are added up before they move."""
+    blocks = max(1, -(-n_items // block))
+    own = F.pmod(F.xxhash64("last"), F.lit(blocks)).cast("int")
+    x = level.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    x = x.select("prefix", "last", "chunk", "bits", F.least("_b", "_o").alias("x"), F.greatest("_b", "_o").alias("y"), (F.col("_b") > F.col("_o")).alias("second"))
+
+    def met(t: pa.Table) -> pa.Table:
+        last, second = np.asarray(t["last"]), np.asarray(t["second"])
+        words = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(last), -1)
+        inner = not second.any()
+        first, other = np.flatnonzero(~second), np.arange(len(last)) if inner else np.flatnonzero(second)
+        out = [np.zeros((0, 3), np.int64)]
+        if inner and t["x"][0] != t["y"][0]:  # the other block is empty here
+            first = first[:0]
+        for i in first:
+            js = other[last[other] > last[i]] if inner else other
+            n = np.bitwise_count(words[js] & words[i]).sum(1, dtype=np.int64)
+            hit = js[n > 0]
+            out.append(np.stack([np.minimum(last[hit], last[i]), np.maximum(last[hit], last[i]), n[n > 0]], 1))
+        a, b, n = np.concatenate(out).T
+        return pa.table({"prefix": pa.array([t["prefix"][0].as_py()] * len(a), pa.list_(pa.int64())), "a": a, "b": b, "n": n})
+
+    met_ = x.groupBy("prefix", "chunk", "x", "y").applyInArrow(met, "prefix array<long>, a long, b long, n long")
+    return met_.groupBy("prefix", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _and(batches):
+    for t in batches:
+        bits = [(np.frombuffer(a, np.uint64) & np.frombuffer(b, np.uint64)).tobytes() for a, b in zip(t["bits"].to_pylist(), t["_bits"].to_pylist(), strict=True)]
+        keep = pa.array([any(x) for x in bits], pa.bool_())
+        out = pa.RecordBatch.from_arrays([t["prefix"], t["last"], t["chunk"], pa.array(bits, pa.binary())], ["prefix", "last", "chunk", "bits"])
+        yield out.filter(keep)
+
+
+def eclat(items: DataFrame, least: int, max_len: int | None = None, block: int = ITEM_BLOCK) -> DataFrame:
+    """(items sorted, size, n): the itemsets of any length (of max_len at most) in at least `least` transactions, by intersecting bitmaps.
+
+    items(tid, item): distinct and without nulls. A level holds the bitmaps of its frequent itemsets; two that differ in their last item only
+    are intersected, first to count and, where the count suffices, for the next level. A task holds the bitmaps of two blocks of items for
+    one chunk of transactions, so neither a long transaction nor a frequent item is gathered."""
+    if least < 1 or (max_len is not None and max_len < 1):
+        raise ValueError("least and max_len must be 1 or more")
+    spark = items.sparkSession
+    items = written(items.select("tid", "item"), "items")
+    one = numbered(items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least), ["item"], "last")  # numbers in the items' order
+    one = written(one, "frequent")
+    n_items, size = one.count(), 1
+    found = [one.select(F.array("last").alias("ids"), "n")]
+    level = written(tid_bitmaps(items).join(one, "item").select(F.array().cast("array<long>").alias("prefix"), "last", "chunk", "bits"), "bitmaps")
+    while max_len is None or size < max_len:
+        pairs = written(_counted(level, n_items, block).where(F.col("n") >= least), "pairs")
+        if pairs.isEmpty():
+            break
+        size += 1
+        found.append(pairs.select(F.concat("prefix", F.array("a", "b")).alias("ids"), "n"))
+        if size == max_len:
+            break
+        a = level.select("prefix", F.col("last").alias("a"), "chunk", "bits")
+        b = level.select("prefix", F.col("last").alias("b"), "chunk", F.col("bits").alias("_bits"))
+        both = pairs.drop("n").join(a, ["prefix", "a"]).join(b, ["prefix", "b", "chunk"])
+        both = both.select(F.concat("prefix", F.array("a")).alias("prefix"), F.col("b").alias("last"), "chunk", "bits", "_bits")
+        deeper = written(both.mapInArrow(_and, level.schema), "bitmaps")
+        drop_written(level)
+        level = deeper
+    drop_written(level)
+    released(spark)
+    ids = found[0]
+    for x in found[1:]:
+        ids = ids.unionByName(x)
+    named = ids.select("ids", "n", F.posexplode("ids").alias("_p", "last")).join(one.select("last", "item"), "last")
+    named = named.groupBy("ids").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("_p", "item"))).alias("w"))  # an itemset's own items
+    return named.select(F.col("w.item").alias("items"), F.size("ids").alias("size"), "n")

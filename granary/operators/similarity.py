@@ -73,6 +73,72 @@ def pairs_above(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col
     return x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("cosine", 12).alias("cosine")).distinct()
 
 
+def near_counts(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(id, n): how many rows, itself among them, each row has at or above the threshold. A pair of blocks gives one count a row, not its pairs."""
+
+    def run(ia, a, ib, b):
+        inner = len(ia) == len(ib) and (ia == ib).all()
+        own, other = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+        for i in range(0, len(ia), 512):
+            hit = a[i : i + 512] @ b.T >= threshold
+            if inner:  # a row counts itself, whatever the product's last bit says
+                hit[np.arange(len(hit)), i + np.arange(len(hit))] = True
+            own[i : i + 512] = hit.sum(1)
+            other += hit.sum(0)
+        ids, n = (ia, own) if inner else (np.concatenate([ia, ib]), np.concatenate([own, other]))
+        return pa.table({"id": ids[n > 0], "n": n[n > 0]})
+
+    return _met(df, df, id_col, vec_col, run, "id long, n long", True).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _forest(hit, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join whatever the two sides' matrix of hits joins: (row of a, row of b) from a search by breadth, a row or column opened once."""
+    left_a, left_b, out = np.ones(na, bool), np.ones(nb, bool), [np.zeros((2, 0), np.int64)]
+    for start in range(na):
+        if not left_a[start]:
+            continue
+        left_a[start] = False
+        rows = np.array([start])
+        while len(rows):
+            cols = np.flatnonzero(hit[rows].any(0) & left_b)
+            left_b[cols] = False
+            out.append(np.stack([rows[hit[np.ix_(rows, cols)].argmax(0)], cols]))
+            back = hit[:, cols]
+            new = np.flatnonzero(back.any(1) & left_a)
+            left_a[new] = False
+            out.append(np.stack([new, cols[back[new].argmax(1)] if len(cols) else new]))
+            rows = new
+    return tuple(np.concatenate(out, 1))
+
+
+def near_forest(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(a, b): links at or above the threshold that join the same rows as all such links do; from each pair of blocks fewer than it has rows."""
+
+    def run(ia, a, ib, b):
+        hit = np.concatenate([a[i : i + 512] @ b.T >= threshold for i in range(0, len(ia), 512)]) if len(ia) and len(ib) else np.zeros((len(ia), len(ib)), bool)
+        x, y = _forest(hit, len(ia), len(ib))
+        keep = ia[x] != ib[y]
+        return pa.table({"a": ia[x][keep], "b": ib[y][keep]})
+
+    return _met(df, df, id_col, vec_col, run, "a long, b long", True)
+
+
+def first_near(df: DataFrame, other: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """(id, first): for rows of df the smallest id of the other's rows at or above the threshold, if there is one."""
+
+    def run(ia, a, ib, b):
+        order = np.argsort(ib, kind="stable")
+        ib, b, out = ib[order], b[order], [(ia[:0], ib[:0])]
+        for i in range(0, len(ia), 512):
+            hit = a[i : i + 512] @ b.T >= threshold
+            at = np.flatnonzero(hit.any(1))
+            out.append((ia[i + at], ib[hit[at].argmax(1)] if len(at) else ib[:0]))
+        p, q = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"id": p, "first": q})
+
+    return _met(df, other, id_col, vec_col, run, "id long, first long", False).groupBy("id").agg(F.min("first").alias("first"))
+
+
 def knn(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", include_self: bool = False) -> DataFrame:
     """(query, rank, neighbour, cosine): the k nearest rows of df for each query (of df where none are given), ties to the smaller id. A task keeps k a query; a window keeps the best."""
     q = df if queries is None else queries

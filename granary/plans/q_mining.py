@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from granary.operators import mining
@@ -48,7 +50,9 @@ def _(spark, d):
 
 @query("eclat_parity", f"WITH {SETS} SELECT items, size, n FROM sets")
 def _(spark, d):
-    return mining.fpgrowth_itemsets(items(spark, d), SUPPORT).where("size <= 3")
+    x = written(items(spark, d), "items")
+    total = x.select("tid").distinct().count()
+    return mining.eclat(x, max(1, math.ceil(SUPPORT * total - 1e-9)), 3)
 
 
 @query("tidset_intersection", f"WITH {ITEMS} SELECT a.item AS a, b.item AS b, count(*) AS n FROM items a JOIN items b ON a.tid = b.tid AND a.item < b.item GROUP BY ALL")
