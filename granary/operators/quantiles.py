@@ -42,11 +42,11 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float],
     `weight` says how many rows a row stands for. Null values don't count, NaN is above all numbers, and infinities are values;
     a group without values has null. Equal values are counted together before anything moves, and the table of counts is
     written: a round reads it, joins it with the ranges still searched and keeps their bins' counts."""
-    by, names, asked_shares = list(by), list(values), list(dict.fromkeys(float(q) for q in shares))
+    named, by, names, asked_shares = list(by), [f"_g{i}" for i in range(len(by))], list(values), list(dict.fromkeys(float(q) for q in shares))
     n = F.lit(1) if weight is None else weight
     one = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), values[x].cast("double").alias("v")) for i, x in enumerate(names)])).alias("_x")
     # -0.0 counts as 0.0 here: grouping makes them equal
-    counts = written(df.select(*by, n.cast("long").alias("n"), one).groupBy(*by, F.col("_x.c").alias("c"), F.col("_x.v").alias("v")).agg(F.sum("n").alias("n")), "counts")
+    counts = written(df.select(*[F.col(c).alias(g) for c, g in zip(named, by, strict=True)], n.cast("long").alias("n"), one).groupBy(*by, F.col("_x.c").alias("c"), F.col("_x.v").alias("v")).agg(F.sum("n").alias("n")), "counts")
     key, v, found = [*by, "c"], F.col("v"), []
     number = v.isNotNull() & ~F.isnan("v") & (F.abs("v") < INF)
     tally = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
@@ -90,7 +90,8 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float],
     at = lambda i: F.first(F.when(F.col("c") == i, F.col("p")), ignorenulls=True).alias(names[i])
     arrays = per.select(*key, F.array(*[F.col("m")[F.lit(float(q))] for q in shares]).alias("p"))
     wide = stats.select(*key, F.lit(None).cast("array<double>").alias("p")).unionByName(arrays)
-    out = written(wide.groupBy(*by).agg(*[at(i) for i in range(len(names))]), "quantiles")
+    wide = wide.groupBy(*by).agg(*[at(i) for i in range(len(names))])
+    out = written(wide.select(*[F.col(g).alias(c) for c, g in zip(named, by, strict=True)], *names), "quantiles")
     for x in (counts, *made):
         drop_written(x)
     return out

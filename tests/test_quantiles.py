@@ -30,6 +30,12 @@ def test_equals_sorting(spark, bins):
             assert same(got[g][name], want), (g, name)
 
 
+@pytest.mark.parametrize("g", ["n", "v", "m", "lo"])
+def test_names_of_groups_do_not_clash(spark, g):
+    df = spark.createDataFrame([("x", 1.0), ("x", 4.0), ("y", 2.0)], f"{g} string, val double")
+    assert {r[0]: r["med"] for r in quantiles(df, {"med": F.col("val")}, [0.5], [g]).collect()} == {"x": [2.5], "y": [2.0]}
+
+
 def test_ends_weights_and_empty_tables(spark):
     inf, nan = float("inf"), float("nan")
     df = spark.createDataFrame([("x", v, 0.0, n) for v, n in ((-inf, 2), (1.0, 3), (2.0, 1), (inf, 1), (nan, 2))], ROW)
