@@ -73,11 +73,17 @@ def pairs_above(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col
     return x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("cosine", 12).alias("cosine")).distinct()
 
 
+def _by_id(ids, vecs):
+    order = np.argsort(ids, kind="stable")
+    return ids[order], vecs[order]
+
+
 def near_counts(df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """(id, n): how many rows, itself among them, each row has at or above the threshold. A pair of blocks gives one count a row, not its pairs."""
+    """(id, n): how many rows, itself among them, each row has at or above the threshold. A pair of blocks gives one count a row, not its pairs. Ids are distinct."""
 
     def run(ia, a, ib, b):
-        inner = len(ia) == len(ib) and (ia == ib).all()
+        (ia, a), (ib, b) = _by_id(ia, a), _by_id(ib, b)
+        inner = np.array_equal(ia, ib)
         own, other = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
         for i in range(0, len(ia), 512):
             hit = a[i : i + 512] @ b.T >= threshold
@@ -127,8 +133,7 @@ def first_near(df: DataFrame, other: DataFrame, threshold: float, id_col: str =
     """(id, first): for rows of df the smallest id of the other's rows at or above the threshold, if there is one."""
 
     def run(ia, a, ib, b):
-        order = np.argsort(ib, kind="stable")
-        ib, b, out = ib[order], b[order], [(ia[:0], ib[:0])]
+        (ib, b), out = _by_id(ib, b), [(ia[:0], ib[:0])]
         for i in range(0, len(ia), 512):
             hit = a[i : i + 512] @ b.T >= threshold
             at = np.flatnonzero(hit.any(1))
