@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import squash
+from granary.sources.store import written
+
+
+def hashed(text: Column | str) -> Column:
+    """A text's key: texts themselves are never shuffled or sorted. Null stays null."""
+    return F.sha2(text, 256)
 
 
 def duplicates_within(df: DataFrame, split: str = "split", text: str = "text", label: str = "label") -> DataFrame:
     """Per split: rows, distinct texts, repeated texts, redundant rows, and repeated texts with one or several labels. Null texts count as rows only."""
-    g = df.groupBy(split, text).agg(F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
-    known = F.col(text).isNotNull()
+    key = hashed(text)
+    each = df.groupBy(split, key.alias("_h"), label).agg(F.count("*").alias("_n"))  # copies of a text are counted before they move
+    g = each.groupBy(split, "_h").agg(F.sum("_n").alias("n"), F.count(label).alias("labels"))
+    known = F.col("_h").isNotNull()
     again = known & (F.col("n") > 1)
     return g.groupBy(split).agg(
         F.sum("n").alias("n_rows"), F.count_if(known).alias("distinct_texts"), F.count_if(again).alias("repeated_texts"),
@@ -23,34 +31,35 @@ def duplicates_within(df: DataFrame, split: str = "split", text: str = "text", l
 
 def first_per_text(df: DataFrame, order: str, text: str = "text") -> DataFrame:
     """The first row of each text in a total order: a partial aggregate, so copies of one text don't meet."""
-    return _first(df.where(F.col(text).isNotNull()), order, text)
+    return _firsts(df.where(F.col(text).isNotNull()), order, text).select("first.row.*")
 
 
-def _first(df: DataFrame, order: str, text: str) -> DataFrame:
-    """The first row of each text, a null one included, by the texts' SHA-256."""
+def _firsts(df: DataFrame, order: str, text: str) -> DataFrame:
+    """(h, first): the first row of each text, a null one included, by the texts' SHA-256."""
     least = F.min(F.struct(F.col(order).alias("o"), F.struct("*").alias("row")))
-    return df.groupBy(F.sha2(text, 256).alias("h")).agg(least.alias("first")).select("first.row.*")
+    return df.groupBy(hashed(text).alias("h")).agg(least.alias("first"))
 
 
 def overlap(df: DataFrame, a: str, b: str, order: str = "doc_id", split: str = "split", text: str = "text", label: str = "label") -> DataFrame:
     """Shared distinct texts of two splits, rows of b that they touch, and shared texts whose first labels agree."""
-    fa, fb = (first_per_text(df.where(F.col(split) == s), order, text) for s in (a, b))
-    both = fa.select(text, F.col(label).alias("la")).join(fb.select(text, F.col(label).alias("lb")), text)
-    rows = df.where(F.col(split) == b).join(both.select(text), text, "left_semi").agg(F.count("*").alias("rows_touched"))
-    return both.agg(F.count("*").alias("shared_texts"), F.count_if(F.col("la") == F.col("lb")).alias("same_label")).crossJoin(rows).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "shared_texts", "same_label", "rows_touched")
+    x = df.where(F.col(split).isin(a, b) & F.col(text).isNotNull()).select(hashed(text).alias("h"), F.col(split).alias("s"), F.struct(F.col(order).alias("o"), F.col(label).alias("l")).alias("r"))
+    first = lambda s: F.min(F.when(F.col("s") == s, F.col("r")))
+    per = x.groupBy("h").agg(first(a).alias("ra"), first(b).alias("rb"), F.count_if(F.col("s") == b).alias("n")).where("ra is not null and rb is not null")
+    same = F.col("ra.l") == F.col("rb.l")
+    return per.agg(F.count("*").alias("shared_texts"), F.count_if(same).alias("same_label"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_touched")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "shared_texts", "same_label", "rows_touched")
 
 
 def label_sets(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    """Texts with more than one label: the sorted set (a class has one entry, so it is small)."""
-    return df.where(F.col(text).isNotNull()).groupBy(text).agg(F.sort_array(F.collect_set(label)).alias("labels")).where(F.size("labels") > 1)
+    """(h, labels): SHA-256 of texts with more than one label, and the sorted set (a class has one entry, so it is small)."""
+    return df.where(F.col(text).isNotNull()).groupBy(hashed(text).alias("h")).agg(F.sort_array(F.collect_set(label)).alias("labels")).where(F.size("labels") > 1)
 
 
 def contradictions(df: DataFrame, test: str, split: str = "split", text: str = "text", label: str = "label") -> DataFrame:
     """Conflicting texts, rows of the test split among them, and the accuracy that no classifier of texts can pass: every text answered by its most frequent label."""
     sets = label_sets(df, text, label)
-    per = df.where(F.col(text).isNotNull()).groupBy(text, label).agg(F.count("*").alias("n")).groupBy(text).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    per = df.where(F.col(text).isNotNull()).groupBy(hashed(text).alias("h"), label).agg(F.count("*").alias("n")).groupBy("h").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     ceiling = per.agg(F.round(F.sum("best") / F.sum("n"), 6).alias("accuracy_ceiling"))
-    tested = df.where(F.col(split) == test).select(text).distinct().join(sets, text, "left_semi").agg(F.count("*").alias("test_texts_contradicted"))
+    tested = df.where(F.col(split) == test).select(hashed(text).alias("h")).distinct().join(sets, "h", "left_semi").agg(F.count("*").alias("test_texts_contradicted"))
     return sets.agg(F.count("*").alias("conflicting_texts")).crossJoin(tested).crossJoin(ceiling)
 
 
@@ -70,21 +79,24 @@ def pair_enrichment(df: DataFrame, text: str = "text", label: str = "label") ->
 
 def clean(df: DataFrame, order: str = "doc_id", split: str = "split", text: str = "text", label: str = "label", train: str = "train") -> tuple[DataFrame, DataFrame]:
     """The training rows that stay, and how many each rule removed, in order: A texts that held-out splits have; B, among what is left, all copies of texts with several labels; C repeats but the first. Held-out rows never change."""
-    held = df.where(F.col(split) != train).select(text).distinct()
-    t = df.where(F.col(split) == train)
-    a = t.join(held, text, "left_anti")
-    n_labels = a.where(F.col(text).isNotNull()).groupBy(text).agg(F.count_distinct(label).alias("k")).where("k > 1").select(text)
-    b = a.join(n_labels, text, "left_anti")
-    c = _first(b, order, text)
-    n = lambda x, name: x.agg(F.count("*").alias(name))
-    counts = n(t, "before").crossJoin(n(a, "_a")).crossJoin(n(b, "_b")).crossJoin(n(c, "after"))
+    # What a text's copies hold together decides, and is aggregated before it moves: copies of a hot text never meet.
+    trains = F.col(split) == train
+    seen = df.select(hashed(text).alias("h"), F.col(label).alias("l"), trains.alias("t"), (F.col(split) != train).alias("held"))
+    each = seen.groupBy("h", "l").agg(F.count_if("t").alias("n"), F.max(F.coalesce("held", F.lit(False))).alias("held"))
+    per = each.groupBy("h").agg(F.sum("n").alias("n"), F.max("held").alias("held"), F.count(F.when(F.col("n") > 0, F.col("l"))).alias("k")).where("n > 0")
+    known = F.col("h").isNotNull()
+    leaks, conflicts = known & F.col("held"), known & (F.col("k") > 1)
+    per = written(per.select("h", "n", F.when(leaks, "a").when(conflicts, "b").otherwise("c").alias("rule")), "texts")
+    c = _firsts(df.where(trains), order, text).join(per.where("rule = 'c'").select(F.col("h").alias("_h")), F.col("h").eqNullSafe(F.col("_h")), "left_semi").select("first.row.*")
+    rows = lambda r: F.coalesce(F.sum(F.when(F.col("rule").isin(*r), F.col("n"))), F.lit(0))
+    counts = per.agg(rows("abc").alias("before"), rows("bc").alias("_a"), rows("c").alias("_b"), F.count_if(F.col("rule") == "c").alias("after"))
     return c, counts.select("before", (F.col("before") - F.col("_a")).alias("leakage"), (F.col("_a") - F.col("_b")).alias("conflicting"), (F.col("_b") - F.col("after")).alias("redundant"), "after")
 
 
 def conflict_elsewhere(a: DataFrame, b: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Rows of a whose text has another label in b."""
-    other = b.select(text, F.col(label).alias("_other")).distinct()
-    return a.join(other, (a[text] == other[text]) & (a[label] != other["_other"]), "left_semi")
+    other = b.select(hashed(text).alias("_h"), F.col(label).alias("_other")).distinct()
+    return a.join(other, (hashed(a[text]) == other["_h"]) & (a[label] != other["_other"]), "left_semi")
 
 
 def changed_by_normalizing(df: DataFrame, text: str = "text") -> DataFrame:
