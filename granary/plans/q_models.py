@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import boosting, evaluate, features, linear, models, sequences
+from granary.operators import batches, boosting, evaluate, features, linear, models, sequences
 from granary.plans.catalog import CORPUS, corpus, query, table
 from granary.plans.q_features import FEATS, good_trips
 from granary.sources.store import new_path
 
+#: Where the public vocabulary lies; it isn't part of the library.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def train_test(spark, d):
     df = corpus(spark, d)
@@ -126,3 +129,19 @@ def _(spark, d):
     path = new_path(spark, "model")
     models.text_pipeline(models.logistic(1.0, a.count(), iterations=5)).fit(models.with_tokens(a)).write().overwrite().save(path)
     return PipelineModel.load(path).transform(models.with_tokens(b)).select("doc_id", "_p").withColumnRenamed("_p", "pred")
+
+
+@query("batch_harness")
+def _(spark, d):
+    """Two fitted classifiers of the labelled vectors, timed in the workers over all vectors at several batch sizes."""
+    v = table(spark, d, "embeddings")
+    _, mean, var = batches.class_moments(v, "label", "embedding")
+    return batches.batch_summary(batches.batch_times(v, "embedding", {"nearest_mean": batches.nearest_mean(mean), "gaussian_bayes": batches.gaussian_bayes(mean, var)}, [1, 8, 32, 128, 512]))
+
+
+@query("subword_report")
+def _(spark, d):
+    """Lengths of all texts in tokens of a public byte-level vocabulary, by language, and the shares beyond usual windows."""
+    with open(VOCABULARY, "rb") as f:
+        ranks = f.read()  # under 1 MB
+    return batches.length_report(batches.subword_lengths(corpus(spark, d).select("label", "text"), ranks), "label", [128, 256, 512])
