@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from granary.sources.store import drop_written, written
 
 BINS = 4096
+#: So many counts, or fewer, are added up in order at once instead of in rounds.
+DIRECT = 100_000
 #: Ranges wider than this many times their smaller end are cut by magnitude, down to TINY.
 SPAN, TINY = 1e6, 1e-300
 INF = float("inf")
@@ -36,12 +38,13 @@ def _bin(bins: int) -> Column:
     return F.when(v == hi, bins - 1).otherwise(F.least(F.floor(share * (bins - 1)), F.lit(bins - 2))).cast("int")
 
 
-def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float], by: Sequence[str] = (), weight: Column | None = None, bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float], by: Sequence[str] = (), weight: Column | None = None, bins: int = BINS, direct: int = DIRECT) -> DataFrame:
     """One row for each group of `by` (one in all without `by`): for each named value its exact percentiles as an array, interpolated between neighbours.
 
     `weight` says how many rows a row stands for. Null values don't count, NaN is above all numbers, and infinities are values;
     a group without values has null. Equal values are counted together before anything moves, and the table of counts is
-    written: a round reads it, joins it with the ranges still searched and keeps their bins' counts."""
+    written: a round reads it, joins it with the ranges still searched and keeps their bins' counts. A table of at most `direct`
+    counts is small enough to be added up in order, which gives the same values without rounds."""
     named, by, names, asked_shares = list(by), [f"_g{i}" for i in range(len(by))], list(values), list(dict.fromkeys(float(q) for q in shares))
     n = F.lit(1) if weight is None else weight
     one = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), values[x].cast("double").alias("v")) for i, x in enumerate(names)])).alias("_x")
@@ -56,15 +59,21 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float],
     )
     place = F.col("q") * (F.col("total") - 1)
     each = F.explode(F.array(*[F.lit(q) for q in asked_shares])).alias("q")
-    asked = written(stats.where("total > 0").select("*", each).select("*", F.floor(place).alias("r0"), F.ceil(place).alias("r1"), place.alias("place")), "asked")
+    asked = stats.where("total > 0").select("*", each).select("*", F.floor(place).alias("r0"), F.ceil(place).alias("r1"), place.alias("place"))
+    small = counts.count() <= direct
+    asked = asked if small else written(asked, "asked")
     r, top = F.col("r"), F.col("total") - F.col("nan")
     outside = F.when(r < F.col("low"), -INF).when(r >= top, float("nan")).when(r >= top - F.col("high"), INF)
     ranks = asked.select(*key, "total", "low", "high", "nan", "lo", "hi", F.explode(F.array("r0", "r1")).alias("r")).distinct()
     # `below`: how many values of the group come before the range lo..hi
-    state = written(ranks.select(*key, "r", F.coalesce(outside, F.col("lo")).alias("lo"), F.coalesce(outside, F.col("hi")).alias("hi"), F.col("low").alias("below")), "ranks")
+    state = None if small else written(ranks.select(*key, "r", F.coalesce(outside, F.col("lo")).alias("lo"), F.coalesce(outside, F.col("hi")).alias("hi"), F.col("low").alias("below")), "ranks")
     open_ = (F.col("lo") < F.col("hi")) & ~F.isnan("lo")
-    made = [asked, state]
-    while True:
+    made = [] if small else [asked, state]
+    if small:
+        w = W.partitionBy(*key).orderBy("v")  # `direct` rows at most
+        sums = counts.where(v.isNotNull()).withColumn("to", F.sum("n").over(w)).select(*[F.col(c).alias(f"_{c}") for c in key], F.col("v").alias("x"), "to", (F.col("to") - F.col("n")).alias("from"))
+        found.append(ranks.join(sums, _same(key, "_") & (r >= F.col("from")) & (r < F.col("to"))).select(*key, "r", "x"))
+    while not small:
         found.append(state.where(~open_).select(*key, "r", F.col("lo").alias("x")))
         todo = state.where(open_)
         if todo.isEmpty():
