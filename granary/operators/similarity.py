@@ -1,7 +1,8 @@
 """Exact and hashed similarity of dense vectors.
 
 Vectors meet in pairs of blocks: a block's vectors travel packed in one row for each batch, and each pair of blocks is one matrix
-product in one task. No side is broadcast, and memory is that of two blocks."""
+product in one task. No side is broadcast, and memory is that of two blocks. Searches above a threshold pass over pairs of blocks by
+pivots."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.operators import pivots
+
 BLOCK = 4096
 PACKED = "b int, ids binary, vecs binary, width int"
 
@@ -34,8 +37,11 @@ def packed(df: DataFrame, n_blocks: int, id_col: str, vec_col: str) -> DataFrame
     return x.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"), F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int")).mapInArrow(_pack, PACKED)
 
 
-def _met(df_a: DataFrame, df_b: DataFrame, id_col: str, vec_col: str, run, schema: str, same: bool) -> DataFrame:
+def _met(df_a: DataFrame, df_b: DataFrame, id_col: str, vec_col: str, run, schema: str, same: bool, cosine: float | None = None) -> DataFrame:
+    """run over the pairs of blocks: over all, or over those that can hold a pair at or above the cosine."""
     na, nb = (max(1, -(-x.count() // BLOCK)) for x in (df_a, df_b))
+    if cosine is not None and na + nb > 2:
+        return pivots.met(df_a, df_b, id_col, vec_col, run, schema, same, cosine, BLOCK)
     each = lambda x, side, own, other, n: x.select("*", F.lit(side).alias("side"), F.col("b").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other))
     both = each(packed(df_a, na, id_col, vec_col), 0, "x", "y", nb).unionByName(each(packed(df_b, nb, id_col, vec_col), 1, "y", "x", na))
     if same:
@@ -54,7 +60,7 @@ def _met(df_a: DataFrame, df_b: DataFrame, id_col: str, vec_col: str, run, schem
 
 
 def pairs_above(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", other: DataFrame | None = None) -> DataFrame:
-    """(a, b, cosine) of pairs at or above the threshold: within df (a < b), or of rows a of df with rows b of another."""
+    """(a, b, cosine) of pairs at or above the threshold: within df (a < b), or of rows a of df with rows b of another. Products are made where pivots don't rule them out."""
     same = other is None
 
     def run(ia, a, ib, b):
@@ -66,7 +72,7 @@ def pairs_above(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col
         p, q, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"a": p, "b": q, "cosine": s})
 
-    x = _met(df, df if same else other, id_col, vec_col, run, "a long, b long, cosine double", same)
+    x = _met(df, df if same else other, id_col, vec_col, run, "a long, b long, cosine double", same, threshold)
     if not same:
         return x
     # Blocks meet once, so a pair comes once, in either order (twice within a block).
@@ -144,6 +150,18 @@ def first_near(df: DataFrame, other: DataFrame, threshold: float, id_col: str =
     return _met(df, other, id_col, vec_col, run, "id long, first long", False).groupBy("id").agg(F.min("first").alias("first"))
 
 
+def _best(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k highest values, ties to the smaller column: a selection finds the k-th value, and only what reaches it is sorted."""
+    if sim.shape[1] <= k:
+        return np.argsort(-sim, axis=1, kind="stable")
+    kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    out = np.empty((len(sim), k), np.int64)
+    for i, row in enumerate(sim):
+        at = np.flatnonzero(row >= kth[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")[:k]]
+    return out
+
+
 def knn(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", include_self: bool = False) -> DataFrame:
     """(query, rank, neighbour, cosine): the k nearest rows of df for each query (of df where none are given), ties to the smaller id. A task keeps k a query; a window keeps the best."""
     q = df if queries is None else queries
@@ -155,7 +173,7 @@ def knn(df: DataFrame, k: int, queries: DataFrame | None = None, id_col: str = "
             sim = np.round(a[i : i + 512] @ b.T, 12)
             if not include_self:
                 sim[ia[i : i + 512, None] == ib[None]] = -np.inf
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            top = _best(sim, k)
             s = np.take_along_axis(sim, top, 1)
             keep = np.isfinite(s)
             out.append((np.repeat(ia[i : i + 512], keep.sum(1)), ib[top[keep]], s[keep]))
