@@ -19,19 +19,19 @@ def terms(text: Column, bigrams: bool) -> Column:
     return F.concat(t, F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))) if bigrams else t
 
 
-def tf(df: DataFrame, doc: str, text: str, bigrams: bool) -> DataFrame:
-    return df.select(doc, F.explode(terms(F.col(text), bigrams)).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
-
-
-def idf(train: DataFrame, doc: str = "doc_id", text: str = "text", min_df: int = 2, bigrams: bool = False) -> DataFrame:
-    """(term, idf) fitted on the training rows only: ln((1 + n) / (1 + df)) + 1."""
+def idf(train: DataFrame, text: str = "text", min_df: int = 2, bigrams: bool = False) -> DataFrame:
+    """(term, idf) fitted on the training rows only: ln((1 + n) / (1 + df)) + 1. A row is a document, and its distinct terms are found within it, so that the only shuffle is that of counts by term."""
     n = train.agg(F.count("*").alias("n_docs"))
-    return tf(train, doc, text, bigrams).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = train.select(F.explode(F.array_distinct(terms(F.col(text), bigrams))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(df: DataFrame, weights: DataFrame, doc: str = "doc_id", text: str = "text", bigrams: bool = False) -> DataFrame:
-    """(doc, term, w): sublinear counts times idf, each document of length 1. Unknown terms are left out."""
-    x = tf(df, doc, text, bigrams).join(weights, "term").withColumn("u", (1 + F.log("tf")) * F.col("idf"))
+    """(doc, term, w): sublinear counts times idf, each document of length 1. Unknown terms are left out.
+
+    Texts move once, by document: counts and lengths need no further shuffle where the weights are small enough for Spark to broadcast them."""
+    tf = df.select(doc, text).repartition(doc).select(doc, F.explode(terms(F.col(text), bigrams)).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    x = tf.join(weights, "term").withColumn("u", (1 + F.log("tf")) * F.col("idf"))
     return x.select(doc, "term", (F.col("u") / F.sqrt(F.sum(F.col("u") * F.col("u")).over(W.partitionBy(doc)))).alias("w"))
 
 

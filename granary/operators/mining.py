@@ -32,7 +32,6 @@ def frequent_itemsets(items: DataFrame, min_support: float, max_len: int = 3, n:
     if not 1 <= max_len <= 3:
         raise ValueError("max_len must be 1, 2 or 3")
     items = written(items.select("tid", "item"), "items")
-    items = written(items.select("tid", "item"), "items")
     total = items.select("tid").distinct().agg(F.count("*").alias("total"))
     least = F.ceil(F.lit(min_support) * F.col("total") - F.lit(1e-9))
     one = items.groupBy("item").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") >= least)
@@ -127,12 +126,13 @@ def gain_summary(compared: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(mid)).select("n_pairs", "mean_gain", "median_gain", "better", "over_10_points", "changing")  # one row each
 
 
-def rule_graph(itemsets: DataFrame, ranked: DataFrame, nodes: int = 16, links: int = 24) -> DataFrame:
-    """Links between the most frequent items: the first rules of one item to one."""
+def rule_graph(itemsets: DataFrame, rule_table: DataFrame, nodes: int = 16, links: int = 24) -> DataFrame:
+    """Links between the most frequent items: the first rules of one item to one, ranked among all such rules."""
     top = itemsets.where("size = 1").orderBy(F.desc("n"), "items").limit(nodes).select(F.col("items")[0].alias("item"))
-    x = ranked.where("size(antecedent) = 1 and size(consequent) = 1").select(F.col("antecedent")[0].alias("source"), F.col("consequent")[0].alias("target"), F.round("lift", 6).alias("lift"), "rule_rank")
+    x = rule_table.where("size(antecedent) = 1 and size(consequent) = 1").select(F.col("antecedent")[0].alias("source"), F.col("consequent")[0].alias("target"), "lift", "confidence")
+    x = numbered(x, [F.round("lift", 9).desc(), F.round("confidence", 9).desc(), F.col("source"), F.col("target")], "rule_rank")
     x = x.join(top.withColumnRenamed("item", "source"), "source", "left_semi").join(top.withColumnRenamed("item", "target"), "target", "left_semi")
-    return x.orderBy("rule_rank").limit(links)
+    return x.select("source", "target", F.round("lift", 6).alias("lift"), F.col("rule_rank").cast("int").alias("rule_rank")).orderBy("rule_rank").limit(links)
 
 
 def threshold_sweep(itemsets: DataFrame, rule_table: DataFrame, grid: list[float]) -> DataFrame:

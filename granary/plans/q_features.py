@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import cluster, features
 from granary.operators.quantiles import quantiles
 from granary.plans.catalog import TOKENS, corpus, query, table
+from granary.sources.store import written
 
 BIGRAMS = TOKENS + r""", w AS (SELECT doc_id, split, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM corpus),
 terms AS (SELECT doc_id, split, token AS term FROM tokens UNION ALL SELECT doc_id, split, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)"""
@@ -17,7 +18,7 @@ BI = BIGRAMS + ", " + TF.format(src="terms")
 
 def weighted(spark, d, bigrams):
     df = corpus(spark, d)
-    idf = features.idf(df.where("split = 'train'"), bigrams=bigrams)
+    idf = written(features.idf(df.where("split = 'train'"), bigrams=bigrams), "idf")  # its size decides how it meets the terms
     val = df.where("split = 'val'")
     return val, features.tfidf(val, idf, bigrams=bigrams), idf
 

@@ -135,7 +135,7 @@ def _(spark, d):
 @query("rule_graph", f"WITH {RULES}, t AS (SELECT items[1] AS item FROM sets WHERE size = 1 ORDER BY n DESC, items LIMIT 16) SELECT antecedent[1] AS source, consequent[1] AS target, round(lift, 6) AS lift, CAST(rule_rank AS INTEGER) AS rule_rank FROM (SELECT *, row_number() OVER (ORDER BY round(lift, 9) DESC, round(confidence, 9) DESC, antecedent, consequent) AS rule_rank FROM rules WHERE len(antecedent) = 1 AND len(consequent) = 1) WHERE antecedent[1] IN (FROM t) AND consequent[1] IN (FROM t) ORDER BY rule_rank LIMIT 24")
 def _(spark, d):
     s = sets(spark, d)
-    return mining.rule_graph(s, mining.best_rules(mining.rules(s.where("size <= 2")), 100_000))
+    return mining.rule_graph(s, mining.rules(s.where("size <= 2")))
 
 
 GRID = [0.001, 0.0015, 0.002, 0.005, 0.01, 0.1]

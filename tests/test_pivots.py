@@ -50,7 +50,7 @@ def test_two_tables(df, rows, monkeypatch):
 
 def test_most_block_pairs_are_skipped(df):
     p = pivots.choose(df)
-    a = pivots.blocks(pivots.placed(df, p, "vec_id", "embedding"), p, 16)
+    a = pivots.blocks(pivots.placed(df, p, "vec_id", "embedding", 16), p, 16)
     n = a.select("b").distinct().count()
     count = lambda t: pivots.block_pairs(a, a, pivots.angle_of(t), len(p), True).count()
     assert n == -(-360 // 16) and count(0.97) < 0.4 * n * (n + 1) / 2 and count(-1.0) == n * (n + 1) / 2
