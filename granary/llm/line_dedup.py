@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import marked, session, written
+from granary.llm.common import marked, maybe_in, session, written
 
 LINES = 3
+#: A window with more occurrences than HOT meets its first one in SALTS parts.
+HOT, SALTS = 10_000, 64
 RESULT = ("n_lines", "n_removed", "removed")
 
 
@@ -57,8 +59,13 @@ def dedup(docs: DataFrame, lines: int = LINES, id_col: str = "doc_id", text: str
     slim = rows.select("number", F.col(f"row.`{id_col}`").alias("doc"), F.col(f"row.`{text}`").alias("text"))
     w = written(windows(slim, lines), "windows")
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("number").alias("r"), F.col("place").alias("a"))
-    repeated = w.groupBy("window").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("window", "first")
-    later = w.join(repeated, "window").where((F.col("number") != F.col("first.r")) | (F.col("place") != F.col("first.a")))
+    repeated = written(w.groupBy("window").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1"), "repeated")
+    # A window that the filter takes for a hot one has a row for each salt on this side, whether it is hot or not.
+    hot = repeated.where(F.col("n") > HOT)
+    firsts = marked(repeated, hot, "window", "hot").select("window", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("number", "place"), F.lit(SALTS)).cast("int")).otherwise(0)
+    seen = marked(maybe_in(w, repeated, "window"), hot, "window", "hot").withColumn("salt", salt).drop("hot")
+    later = seen.join(firsts.hint("merge"), ["window", "salt"]).where((F.col("number") != F.col("first.r")) | (F.col("place") != F.col("first.a")))
     gone = later.groupBy("number").agg(F.collect_set("place").alias("p"))
     gone = written(gone.select("number", F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda p: F.sequence(p, p + lines - 1))))).alias("removed")), "gone")
 

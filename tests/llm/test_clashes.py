@@ -71,6 +71,16 @@ def test_line_dedup_of_a_shuffled_input(spark, parts):
     assert sorted(map(tuple, got)) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 5, 25])
+def test_line_dedup_of_hot_windows(spark, monkeypatch, hot):
+    """Windows beyond HOT are dealt over salts; those at and below it aren't; both lose the same lines."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SALTS", 7)
+    rows = [(i, "\n".join(["one", "two", "three", "four"] + (["p", "q", "r"] if i % 6 == 0 else []) + [f"own {i}", f"line {i}"])) for i in range(30)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == brute_lines(rows)
+
+
 def test_line_dedup_of_many_lines(spark):
     text = "\n".join(str(i) for i in range(200_000))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame([(1, text), (2, "x\n" + text + "\ny")], "doc_id long, text string")).collect()}
